@@ -1,0 +1,157 @@
+"""URL filters: host and path rules, then logistic regression on hashed character n-grams.
+
+Rules decide what they cover: a rule (host, path) fits its host and all subdomains if the url's path starts with
+the rule's; the longest fitting rule wins. Everything else gets the verdict of a logistic regression on hashed
+character n-grams of host and path. It is trained in numpy, on the driver, from a small labelled URL table (a
+parameter, SEEDS by default); the model is 2**buckets_log2 floats and rides along with the task closure. No row
+is shuffled: hot hosts cost nothing.
+
+Null urls, and urls without `://`, have an empty host and an empty path and no rule, score 0 and are allowed:
+there is nothing to judge. An empty table gives an empty result; repeated rows get equal verdicts; extra columns
+are carried along and columns named like a result are replaced.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._kernel import U, mix
+from ._shared import appended, ascii_lower, table, without
+
+#: (host, path, verdict) of the registered query.
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+#: A small labelled URL table: (url without scheme, whether it is to be blocked).
+SEEDS = [
+    *((u, False) for u in """
+en.wikipedia.example/wiki/Book docs.python.example/3/library/re.html news.city.example/2024/05/council-budget
+blog.gardening.example/en/tomatoes www.university.example/department/history/courses library.example/catalogue/853
+shop.example/de/buecher/413 www.museum.example/fr/collection/12 forum.cycling.example/en/thread/217
+api.weather.example/v2/forecast m.recipes.example/es/sopa www.gov.example/forms/tax code.example/project/readme
+archive.example/details/letters www.school.example/en/timetable blog.travel.example/fr/414 journal.example/articles/10.html
+www.hospital.example/de/511 m.news.example/en/742/ radio.example/en/programme/98 www.theatre.example/fr/357
+blog.history.example/en/381 maps.example/route/north data.example/en/set/233 poetry.example/es/109
+www.science.example/en/853/ kids.example/en/stories/3 blog.music.example/de/925 m.football.example/en/results
+www.bank.example/help/contact jobs.example/de/49 www.church.example/en/sunday letters.example/fr/386.html
+""".split()),
+    *((u, True) for u in """
+best-casino-bonus.example/play/free-spins xxx-videos-hot.example/watch/8839 cheap-viagra-pills.example/buy-now
+online-poker-win.example/bonus/claim adult-cams-live.example/xxx/room/3 free-crack-keygen.example/download/setup.exe
+torrent-pirate-movies.example/magnet/771 payday-loans-fast.example/apply?aff=9 win-iphone-prize.example/claim/free-gift
+hot-singles-dating.example/sex/chat click-track-ads.example/redirect/popunder replica-watches-sale.example/cheap/rolex
+porn-tube-free.example/videos/xxx casino-slots-jackpot.example/signup/bonus buy-followers-cheap.example/promo/spam
+verify-account-login.example/secure/update-password crypto-doubler-invest.example/free-coins warez-serials.example/crack/keygen
+escort-girls-city.example/adult/list betting-odds-tips.example/bet/bonus malware-codec-update.example/install/flash.exe
+sexy-nude-pics.example/gallery/porn diet-pills-miracle.example/order/discount lottery-winner-claim.example/prize/claim
+""".split()),
+]
+
+NEW = ["host", "path", "rule", "rule_verdict", "score", "verdict"]
+
+
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """After the first :// up to /, ? or # (lower-cased A-Z), then up to ? or #; both empty without ://."""
+    at = F.coalesce(F.instr(url, "://"), F.lit(0))
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+    return ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+
+
+def _fitting(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
+    """The longest fitting rule and its verdict as one CASE, longest first."""
+    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for h, p, v in sorted(rules, key=lambda r: (len(r[0] + r[1]), r)):
+        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
+        rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
+    return rule, verdict
+
+
+def grams(parts: list[tuple[str, str]], log2: int, sizes: tuple[int, ...] = (3, 4, 5)) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all character n-grams of `^host$` and `^path$`, and the row each belongs to."""
+    texts = [f"^{s}$" for p in parts for s in p]
+    raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U) for t in texts]
+    offs = np.cumsum([0, *map(len, raw)])
+    data = np.concatenate([*raw, np.zeros(max(sizes), U)])
+    which = np.repeat(np.arange(len(raw)), np.diff(offs))
+    ends = np.repeat(offs[1:], np.diff(offs))
+    at, buckets, rows = np.arange(offs[-1]), [], []
+    with np.errstate(over="ignore"):
+        for n in sizes:
+            h = (which % 2).astype(U) + U(n * 7919)  # host and path grams differ
+            for i in range(n):
+                h = (h * U(0x100000001B3)) ^ data[at + i]
+            ok = at + n <= ends
+            buckets.append((mix(h) >> U(64 - log2)).astype(np.int64)[ok])
+            rows.append((which // 2)[ok])
+    return np.concatenate(buckets), np.concatenate(rows)
+
+
+@dataclass(frozen=True)
+class UrlModel:
+    weights: np.ndarray
+    bias: float
+    log2: int
+
+    def scores(self, parts: list[tuple[str, str]]) -> np.ndarray:
+        """Probability that each (host, path) is to be blocked."""
+        b, r = grams(parts, self.log2)
+        total = np.bincount(r, self.weights[b], len(parts))
+        count = np.maximum(np.bincount(r, minlength=len(parts)), 1)
+        return 1 / (1 + np.exp(-np.clip(total / np.sqrt(count) + self.bias, -60, 60)))
+
+
+def split_url(url: str) -> tuple[str, str]:
+    host, slash, path = url.split("?")[0].split("#")[0].partition("/")
+    return host.lower(), slash + path
+
+
+def fit(labelled: list[tuple[str, bool]] = SEEDS, log2: int = 16, epochs: int = 60, rate: float = 0.5, decay: float = 1e-4, seed: int = 7) -> UrlModel:
+    """Stochastic gradient descent over the labelled table; deterministic for a seed."""
+    w, bias, rng = np.zeros(1 << log2), 0.0, np.random.default_rng(seed)
+    feats = [np.unique(grams([split_url(u)], log2)[0], return_counts=True) for u, _ in labelled]
+    y = np.array([b for _, b in labelled], float)
+    for epoch in range(epochs):
+        for i in rng.permutation(len(labelled)):
+            b, c = feats[i]
+            x = c / np.sqrt(c.sum())
+            p = 1 / (1 + np.exp(-np.clip(w[b] @ x + bias, -60, 60)))
+            step = rate / (1 + 0.1 * epoch)
+            w[b] -= step * ((p - y[i]) * x + decay * w[b])
+            bias -= step * 0.1 * (p - y[i])
+    return UrlModel(w.astype(np.float32), float(bias), log2)
+
+
+def apply_filters(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] | None = None, model: UrlModel | None = None, threshold: float = 0.5) -> DataFrame:
+    """df with host, path, rule, rule_verdict, score (probability of block) and verdict."""
+    rules, model = RULES if rules is None else rules, model or fit()
+    source = F.col(f"`{url}`")
+    df = df.select(*[F.col(f"`{c}`") for c in without(df, NEW).columns], *[e.alias(n) for e, n in zip(host_and_path(source), ("host", "path"), strict=True)])
+    rule, verdict = _fitting(F.col("host"), F.col("path"), rules)
+    df = df.withColumns({"rule": rule, "rule_verdict": verdict})
+    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("verdict", T.StringType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()  # noqa: B023, E731
+            parts = list(zip(get("host"), get("path"), strict=True))
+            p = np.where([bool(h or q) for h, q in parts], model.scores(parts), 0.0) if parts else np.zeros(0)
+            said = [r if r is not None else "block" if x >= threshold else "allow" for r, x in zip(get("rule_verdict"), p, strict=True)]
+            yield appended(batch, {"score": pa.array(p, pa.float64()), "verdict": pa.array(said, pa.string())})
+
+    return df.mapInArrow(score, schema)
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_filters(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
