@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filters
+from . import bpe_coding, license_scans, quality_rules, source_mixing, url_filters
 
 
 def queries() -> dict:
     return {
+        "op2_license_scans": license_scans.op2_license_scans,
         "op3_url_filters": url_filters.op3_url_filters,
+        "op4_bpe_coding": bpe_coding.op4_bpe_coding,
+        "op5_source_mixing": source_mixing.op5_source_mixing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.SQL}
+    return {"op2_license_scans": license_scans.sql(), "op7_quality_rules": quality_rules.SQL}
