@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from . import bpe_coding, license_scans, quality_rules, source_mixing, url_filters
+from . import bpe_coding, language_id, license_scans, near_duplicates, quality_rules, repeated_passages, source_mixing, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_license_scans": license_scans.op2_license_scans,
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_bpe_coding": bpe_coding.op4_bpe_coding,
         "op5_source_mixing": source_mixing.op5_source_mixing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_repeated_passages": repeated_passages.op8_repeated_passages,
+        "op10_near_duplicates": near_duplicates.op10_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scans": license_scans.sql(), "op7_quality_rules": quality_rules.SQL}
+    return {
+        "op2_license_scans": license_scans.sql(),
+        "op7_quality_rules": quality_rules.SQL,
+        "op8_repeated_passages": repeated_passages.SQL,
+        "op10_near_duplicates": near_duplicates.SQL,
+    }
