@@ -1,0 +1,245 @@
+"""Keys and small parsers over names, titles, numbers and identifiers, as Column expressions.
+
+Only Unicode normalisation needs Python (Spark has no function for it); it is an Arrow-batched UDF. Nulls stay
+null unless a docstring says otherwise.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
+
+#: White space as the web's regular expressions have it; Java's \s is ASCII only.
+SPACES = r"[\t-\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+# Fixed values.
+#: Words too common to tell two titles apart.
+COMMON = ["a", "an", "and", "at", "by", "for", "from", "in", "is", "of", "on", "or", "the", "to", "with", "af", "de", "den", "det", "en", "et", "i", "med", "og", "på", "til"]
+#: Articles that may lead a series name.
+ARTICLES = ["the", "a", "an", "den", "det", "de", "der", "die", "das", "le", "la", "les", "el", "il"]
+QUOTES, DOUBLE_QUOTES, DASHES = "‘’‛´`", "“”„", "‐‑‒–—―"
+MAX_NAME, MAX_POSITION, SAME_TITLE = 200, 99999, 0.8
+
+
+@pandas_udf(StringType())
+def fold_marks(s: pd.Series) -> pd.Series:
+    """Compatibility decomposition without combining marks."""
+    return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c)[0] != "M"), na_action="ignore")
+
+
+@pandas_udf(StringType())
+def nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def utf16_len(s: Column) -> Column:
+    """Length in UTF-16 code units: astral characters count twice."""
+    return F.length(s) + F.regexp_count(s, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def collapse(s: Column) -> Column:
+    return F.btrim(F.regexp_replace(s, SPACES + "+", " "))
+
+
+def word_list(s: Column) -> Column:
+    """Runs of letters and digits of a folded, lower-cased name."""
+    return F.regexp_extract_all(F.lower(fold_marks(s)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def title_key(s: Column) -> Column:
+    """Case, accents and punctuation aside."""
+    return F.array_join(word_list(s), " ")
+
+
+def author_key(s: Column) -> Column:
+    """The words of a name in order, so that both ways to write it agree."""
+    return F.array_join(F.array_sort(word_list(s)), " ")
+
+
+def clean_series_name(s: Column) -> Column:
+    """Single spaces, no separators around it, 200 characters at most."""
+    edge = r"[\t-\r \x{00a0},:;\-–—]+"
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, SPACES + "+", " "), "^" + edge, ""), edge + "$", "")
+    return F.btrim(F.substring(flat, 1, MAX_NAME))
+
+
+def series_key(s: Column) -> Column:
+    """Case, quotes and dashes do not matter."""
+    return F.translate(F.lower(nfkc(clean_series_name(s))), QUOTES + DOUBLE_QUOTES + DASHES, "'" * len(QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES))
+
+
+def loose_key(s: Column) -> Column:
+    """No leading article, no trailing "series"."""
+    return F.regexp_replace(F.regexp_replace(series_key(s), f"^({'|'.join(ARTICLES)}) ", ""), r"[ -]seri(es|en)$", "")
+
+
+def same_series_name(a: Column, b: Column) -> Column:
+    """An empty key never matches."""
+    x = loose_key(a)
+    return (x != "") & (x == loose_key(b))
+
+
+def parse_position(s: Column) -> Column:
+    """J08: "3", "03", "2.5" or "2,5" up to 99999 with two decimals, else null."""
+    n = F.regexp_extract(s, rf"^{SPACES}*(\d{{1,5}}([.,]\d+)?){SPACES}*$", 1)
+    return F.when(n != "", F.round(F.translate(n, ",", ".").try_cast("double"), 2))
+
+
+def parse_place(s: Column) -> Column:
+    """A number or an ascending range, as struct<position, position_end>; equal ends are one number."""
+    shape = rf"^{SPACES}*(\d{{1,5}}(?:[.,]\d+)?)(?:{SPACES}*[-–—]{SPACES}*(\d{{1,5}}(?:[.,]\d+)?))?{SPACES}*$"
+    a, b = parse_position(F.regexp_extract(s, shape, 1)), parse_position(F.regexp_extract(s, shape, 2))
+    place = F.struct(a.alias("position"), F.when(b > a, b).alias("position_end"))
+    return F.when(a.isNotNull() & (b.isNull() | (b >= a)), place)
+
+
+def telling_words(s: Column) -> Column:
+    """The distinct words that tell a title apart; all of them if there are no others."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(s, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    telling = F.array_except(words, F.array(*map(F.lit, COMMON)))
+    return F.when(F.size(telling) > 0, telling).otherwise(words)
+
+
+def jaccard(x: Column, y: Column) -> Column:
+    """Shared over all words, 0 if none is shared."""
+    both = F.size(F.array_intersect(x, y))
+    return F.when(both > 0, both / (F.size(x) + F.size(y) - both)).otherwise(0.0)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    return jaccard(telling_words(a), telling_words(b))
+
+
+def same_author(a: Column, b: Column) -> Column:
+    """A telling word longer than a letter in common."""
+    return F.exists(F.array_intersect(telling_words(a), telling_words(b)), lambda w: F.length(w) > 1)
+
+
+def surname(name: Column) -> Column:
+    """What an author is sorted by, for both ways to write a name; jr., sr. and numerals aside."""
+    suffix = r"(?i)^(jr|sr|ii|iii|iv)\.?$"
+    head, tail = F.btrim(F.substring_index(name, ",", 1)), F.btrim(F.regexp_extract(name, r"(?s)^[^,]*,(.*)$", 1))
+    parts = F.split(head, SPACES + "+")
+    kept = F.reverse(F.filter(F.reverse(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i")))), lambda x: (x["i"] == 0) | ~x["p"].rlike(suffix)))
+    inverted = (F.instr(name, ",") > 1) & (tail != "") & ~tail.rlike(suffix)
+    return F.when(inverted, head).otherwise(F.coalesce(F.element_at(kept, -1)["p"], F.lit("")))
+
+
+def author_names(line: Column) -> Column:
+    """J21: ";" parts authors; "&", "and" and "," do if every part is a whole name. Repeats (by key) go."""
+    whole = lambda p: p.contains(" ") & ~p.rlike(r"(^|\s)\p{L}\.?$")
+    names = F.filter(F.transform(F.split(F.coalesce(line, F.lit("")), ";"), collapse), lambda n: n != "")
+    for separator in (r"\s*&\s*|(?i)\s+and\s+", r"\s*,\s*"):
+
+        def part(n: Column, sep: str = separator) -> Column:
+            parts = F.filter(F.split(n, sep), lambda p: p != "")
+            return F.when((F.size(parts) > 1) & F.forall(parts, whole), parts).otherwise(F.array(n))
+
+        names = F.flatten(F.transform(names, part))
+    return names
+
+
+def _digit_sum(digits: Column, weights: list[int]) -> Column:
+    out = F.lit(0)
+    for i, w in enumerate(weights, 1):
+        d = F.substring(digits, i, 1)
+        out = out + F.when(d == "X", 10).otherwise(F.coalesce(d.try_cast("int"), F.lit(0))) * w
+    return out
+
+
+def read_isbn(value: Column, marked: Column | None = None) -> Column:
+    """An ISBN as 13 digits, or null. Ten digits count only with a marker such as `urn:isbn:`."""
+    marker = r"(?i)^(?:urn:)?isbn(?:[-\s]?1[03])?(?:\s*:\s*|\s+)"
+    s = F.btrim(F.coalesce(value, F.lit("")))
+    is_marked = s.rlike(marker) if marked is None else s.rlike(marker) | marked
+    d = F.upper(F.regexp_replace(F.regexp_extract(F.regexp_replace(s, marker, ""), r"^[0-9Xx][0-9Xx\s-]*", 0), r"[\s-]", ""))
+    thirteen = d.rlike(r"^97[89][0-9]{10}$") & (_digit_sum(d, [1, 3] * 6 + [1]) % 10 == 0)
+    ten = is_marked & d.rlike(r"^[0-9]{9}[0-9X]$") & (_digit_sum(d, list(range(10, 0, -1))) % 11 == 0)
+    body = F.concat(F.lit("978"), F.substring(d, 1, 9))
+    return F.when(thirteen, d).when(ten, F.concat(body, ((10 - _digit_sum(body, [1, 3] * 6) % 10) % 10).cast("string")))
+
+
+def slugify(s: Column) -> Column:
+    """Lower-cased letters, digits and hyphens."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.btrim(s)), r"[^\p{L}\p{N}\s-]", ""), r"\s+", "-")
+
+
+def reading_status(percent: Column) -> Column:
+    """Unread without progress, finished from 98 %, else reading."""
+    return F.when(percent.isNull(), "unread").when(percent >= 0.98, "finished").otherwise("reading")
+
+
+def date_label(ts: Column, now: Column, zone: str = "Europe/Copenhagen") -> Column:
+    """The time today, `d MMM` this year, else `d MMM yyyy`; timestamps are UTC."""
+    t, n = F.from_utc_timestamp(ts, zone), F.from_utc_timestamp(now, zone)
+    return F.when(F.to_date(t) == F.to_date(n), F.date_format(t, "HH:mm")).when(F.year(t) == F.year(n), F.date_format(t, "d MMM")).otherwise(F.date_format(t, "d MMM yyyy"))
+
+
+def is_scene_break(text: Column) -> Column:
+    """Only marks, or three dots or bullets and more."""
+    t = F.btrim(text)
+    return t.rlike(r"^(?:[*#~⁂]\s*)+$") | t.rlike(r"^(?:[•·]\s*){3,}$")
+
+
+_CREDIT = "(?:scanned|proofed|proof-?read|(?:re-?)?formatted|converted|uploaded)"
+
+
+def is_credit_line(text: Column, sites: str = r"\bz-lib(?:rary)?\b") -> Column:
+    """A short paragraph that credits who scanned or uploaded a book, or names a download site."""
+    t = collapse(text)
+    credit = rf"(?i)^[\p{{P}}\p{{S}}\s]*{_CREDIT}(?:\s*(?:,|&|\+|/|\band\b)\s*(?:and\s+)?{_CREDIT})*\s+by\b"
+    return (F.length(t) > 0) & (F.length(t) < 200) & (t.rlike(credit) | t.rlike(f"(?i){sites}"))
+
+
+def strip_site_marks(text: Column, site: str) -> Column:
+    """Every mention of a site goes, with its scheme and the white space in front of it."""
+    spaced = r"\s*".join(c if c.isalnum() else "\\" + c for c in site)
+    return F.regexp_replace(text, rf"(?i)(?<!\s)\s*(?:https?://)?(?:www\.)?{spaced}\b/?", "")
+
+
+#: Stems that keep their hyphen at a line end.
+COMPOUND_PREFIXES = """self well non anti multi semi half quasi pseudo cross high low long short full part real free open first second
+third one two three four five six seven eight nine ten single double triple large small old new left right hand hard soft wide deep
+best worst vice so ever ill""".split()
+
+
+def join_hyphenated(before: Column, after: Column) -> Column:
+    """A word parted by a line end; the hyphen stays after digits, before capitals and in compounds."""
+    word = F.regexp_extract(before, r"(\S+?)-$", 1)
+    stem = F.lower(F.regexp_extract(word, r"([A-Za-z]*)$", 1))
+    keep = word.rlike(r"\d$") | ~after.rlike("^[a-z]") | stem.isin(COMPOUND_PREFIXES) | word.rlike("[A-Za-z]-[A-Za-z]")
+    return F.when(word != "", F.when(keep, F.concat(before, after)).otherwise(F.concat(F.substring(before, F.lit(1), F.length(before) - 1), after)))
+
+
+def line_key(text: Column) -> Column:
+    """What a running line has in common over pages: numbers as #, no quotes, one kind of separator."""
+    t = F.regexp_replace(text, r"[0-9]+(\s[0-9]+)*", "#")
+    return F.lower(F.btrim(F.regexp_replace(F.translate(t, "\"'`“”‘’„«»", ""), r"[\s|·•—–-]+", " ")))
+
+
+def is_noise(text: Column) -> Column:
+    """No word of two letters, no chapter number and no scene break."""
+    t = F.btrim(text)
+    return ~t.rlike(r"[\p{L}\p{N}]{2}") & ~t.rlike(r"^([0-9]{1,3}|[IVXLC]{1,6})\.?$") & ~t.rlike(r"^([*•·.–—-]\s*){3,}$")
+
+
+_ROMAN = "(?=[ivxlcdm])m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
+
+
+def is_chapter_title(text: Column) -> Column:
+    """A chapter word with a number in digits or Roman numerals, an opening or closing part, or a bare number."""
+    named = rf"(?:(?:chapter|part|book|kapitel|del|bog)\s+(?:[0-9]+|{_ROMAN})(?![\p{{L}}0-9])|(?:prologue|prolog|epilogue|epilog|interlude|efterskrift)(?!\p{{L}}))[^0-9]*"
+    return text.rlike(rf"(?i)^(?:{named}|(?:[0-9]+|{_ROMAN})\.?)$")
+
+
+def guess_device(agent: Column) -> Column:
+    """What kind of device a user agent names."""
+    out = F.when(agent.rlike("(?i)kindle"), "Kindle")
+    for pattern, name in (("ipad", "iPad"), ("iphone", "iPhone"), ("android", "Android"), ("windows", "Windows"), ("macintosh", "Mac"), ("linux", "Linux")):
+        out = out.when(agent.rlike(f"(?i){pattern}"), name)
+    return out.otherwise("Browser")
