@@ -22,9 +22,11 @@ import os
 import re
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -36,7 +38,7 @@ from ._shared import appended, table, without
 
 LEXICON_WORDS = 32_768
 #: Words a worker remembers before it starts anew.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 300_000
 NEW = ["n_tokens", "token_ids", "decoded"]
 
 
@@ -63,48 +65,138 @@ class Vocabulary:
         raw = lambda s: bytes(letters[c] for c in s)
         special = {x["content"]: x["id"] for x in j["added_tokens"]}
         self.ids = {raw(t): i for t, i in j["model"]["vocab"].items() if t not in special}
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.merged: list[int] = []  # by rank
         for rank, m in enumerate(j["model"]["merges"]):
             a, b = map(raw, m if isinstance(m, list) else m.split(" "))
-            self.ranks.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+            self.ranks.setdefault((self.ids[a], self.ids[b]), rank)
+            self.merged.append(self.ids[a + b])
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.bytes_of = {i: t for t, i in self.ids.items()} | {i: s.encode() for s, i in special.items()}
         self.special = special
         self.splitter = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self._pair_table()
 
     def merge(self, word: bytes) -> list[int]:
         """The exact ids of one word: always the pair of lowest rank, the leftmost of equals."""
-        ids, ranks = [self.single[b] for b in word], self.ranks
+        ids = [self.single[b] for b in word]
         if len(ids) > 100:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(zip(ids, ids[1:])):  # noqa: B905
-                r = ranks.get(pair)
-                if r is not None and (best is None or r[0] < best[0]):
-                    best, at = r, i
-            if best is None:
+        get, merged, none = self.ranks.get, self.merged, len(self.merged)
+        ranks = [get(p, none) for p in zip(ids, ids[1:])]  # noqa: B905
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            ids[at : at + 2] = [best[1]]
+            i = ranks.index(best)
+            ids[i] = merged[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
+    def _pair_table(self) -> None:
+        """Pairs in an open-addressed table, for merging many words at once."""
+        pairs = np.array(list(self.ranks), np.uint64)
+        self.keys = (pairs[:, 0] << np.uint64(32)) | pairs[:, 1]
+        values = np.fromiter(self.ranks.values(), np.int32, len(self.ranks))
+        self.slots, self.slot_rank = np.full(1 << 20, np.iinfo(np.uint64).max, np.uint64), np.full(1 << 20, len(self.merged), np.int32)
+        left, step = np.arange(len(self.keys)), 0
+        while left.size:
+            at = (self._slot(self.keys[left]) + step) & 0xFFFFF
+            free = self.slots[at] == np.iinfo(np.uint64).max
+            _, one = np.unique(at, return_index=True)
+            put = np.zeros(left.size, bool)
+            put[one] = True
+            put &= free
+            self.slots[at[put]], self.slot_rank[at[put]] = self.keys[left[put]], values[left[put]]
+            left, step = left[~put], step + 1
+        self.probes, self.result = step, np.array([*self.merged, -1], np.int32)
+        self.first = np.array(self.single, np.int32)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+    def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; past the last rank where there is none or an end is missing (-1)."""
+        keys = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+        slot, out = self._slot(keys), np.full(a.shape, len(self.merged), np.int32)
+        for step in range(self.probes):
+            at = (slot + step) & 0xFFFFF
+            hit = self.slots[at] == keys
+            out[hit] = self.slot_rank[at[hit]]
+        return out
+
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """merge() of many words, in lockstep; long ones go one by one."""
+        out: list = [None] * len(words)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        low = 0
+        for top in (4, 8, 12, 16, 24, 40, 100):
+            at = np.flatnonzero((length > low) & (length <= top))
+            low = top
+            for part in np.array_split(at, max(1, at.size // 20_000)):
+                if part.size:
+                    for i, ids in zip(part, self._merge_block([words[i] for i in part], length[part], top), strict=True):
+                        out[i] = ids
+        return [self.merge(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
+
+    def _merge_block(self, words: list[bytes], n: np.ndarray, width: int) -> list[list[int]]:
+        none, cols = len(self.merged), np.arange(width)
+        ids = np.full((len(words), width), -1, np.int32)
+        ids[cols < n[:, None]] = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = np.full((len(words), width), none, np.int32)
+        ranks[:, :-1] = self._rank_of(ids[:, :-1], ids[:, 1:])
+        done, rows = ids.copy(), np.arange(len(words))
+        while rows.size:
+            i = ranks.argmin(axis=1)
+            every = np.arange(rows.size)
+            best = ranks[every, i]
+            go = best < none
+            if not go.all():
+                done[rows[~go]] = ids[~go]
+                ids, ranks, rows, i, best = ids[go], ranks[go], rows[go], i[go], best[go]
+                if not rows.size:
+                    break
+                every = np.arange(rows.size)
+            shift = cols + (cols > i[:, None])
+            last = shift >= width
+            shift[last] = width - 1
+            ids = np.take_along_axis(ids, shift, 1)
+            ids[last] = -1
+            ids[every, i] = self.result[best]
+            shift = cols + (cols >= i[:, None])
+            shift[shift >= width] = width - 1
+            ranks = np.take_along_axis(ranks, shift, 1)
+            ranks[:, -1] = none
+            ranks[every, i] = self._rank_of(ids[every, i], ids[every, np.minimum(i + 1, width - 1)])
+            ranks[i == width - 1, -1] = none
+            prev = np.flatnonzero(i > 0)
+            ranks[prev, i[prev] - 1] = self._rank_of(ids[prev, i[prev] - 1], ids[prev, i[prev]])
+        size = (done >= 0).sum(axis=1)
+        return [row[:k] for row, k in zip(done.tolist(), size.tolist(), strict=True)]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, ranks = len(ids), self.ranks
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(ranks[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]  # noqa: B905
+        heap = [(ranks[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]  # noqa: B905
         heapq.heapify(heap)
         while heap:
             _, i, pair = heapq.heappop(heap)
             j = after[i] if ids[i] >= 0 else -1
             if j < 0 or (ids[i], ids[j]) != pair:
                 continue
-            ids[i], ids[j] = ranks[pair][1], -1
+            ids[i], ids[j] = self.merged[ranks[pair]], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b >= 0 and (p := (ids[a], ids[b])) in ranks:
-                    heapq.heappush(heap, (ranks[p][0], a, p))
+                    heapq.heappush(heap, (ranks[p], a, p))
         return [x for x in ids if x >= 0]
 
 
@@ -231,33 +323,48 @@ class Coder(dict):
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.v, self.lexicon, self.spelled = vocabulary, lexicon, {}
 
-    def ids_of(self, word: str) -> list[int]:
-        if word in self.v.special:
-            return [self.v.special[word]]
-        raw = word.encode()
-        found = self.lexicon.get(raw) if self.lexicon else None
-        return self.v.merge(raw) if found is None else found
-
-    def __missing__(self, word: str) -> str:
-        ids = self.ids_of(word)
-        out = ",".join(map(str, ids))
-        self.spelled[out] = b"".join([self.v.bytes_of[i] for i in ids])
-        if len(word) < 1000:
-            self[word] = out
-        return out
-
-    def encode(self, text: str) -> list[str]:
-        """The text's words as id runs."""
-        if len(self) > MEMO_WORDS:
-            self.clear()
-            self.spelled.clear()
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words: special ones, the lexicon's, and the rest merged."""
+        unseen, found = [], []
+        for w in words:
+            raw = w.encode()
+            ids = [self.v.special[w]] if w in self.v.special else self.lexicon.get(raw) if self.lexicon else None
+            if ids is None:
+                unseen.append((w, raw))
+            else:
+                found.append((w, ids))
+        found += zip([w for w, _ in unseen], self.v.merge_many([raw for _, raw in unseen]), strict=True)
+        spell = self.v.bytes_of
+        for w, ids in found:
+            out = ",".join(map(str, ids))
+            self[w] = out
+            self.spelled[out] = b"".join([spell[i] for i in ids])
+
+    def _words(self, text: str) -> list[str]:
         if self.v.splitter is None or not self.v.splitter.search(text):
-            return [self[w] for w in split_words(text)]
+            return split_words(text)
         out, at = [], 0
         for m in self.v.splitter.finditer(text):
-            out += [self[w] for w in split_words(text[at : m.start()])] + [self[m[0]]]
+            out += split_words(text[at : m.start()]) + [m[0]]
             at = m.end()
-        return out + [self[w] for w in split_words(text[at:])]
+        return out + split_words(text[at:])
+
+    def encode_many(self, texts: list[str]) -> Iterator[list[str]]:
+        """Each text's words as id runs. New words of a few texts are learned together."""
+        i = 0
+        while i < len(texts):
+            split, size = [], 0
+            while i < len(texts) and (not split or size + len(texts[i]) < 500_000):
+                split.append(self._words(texts[i]))
+                size += len(texts[i])
+                i += 1
+            if len(self) > MEMO_WORDS:
+                self.clear()
+                self.spelled.clear()
+            new = {w for ws in split for w in ws if w not in self}
+            self._learn(list(new))
+            for ws in split:
+                yield [self[w] for w in ws]
 
     def decode(self, runs: list[str]) -> bytes:
         return b"".join([self.spelled[r] for r in runs])
@@ -295,7 +402,7 @@ def lexicon_file(spark: SparkSession, words: list[str], vocabulary: Vocabulary)
     """Compile the words, after a space and at a start, and hand the file to all executors; its name there."""
     pairs = [(raw, vocabulary.merge(raw)) for w in words for raw in (w.encode(), b" " + w.encode())]
     block = compile_lexicon(pairs or [(b" ", vocabulary.merge(b" "))])
-    name = f"quirelake-{hashlib.sha256(block).hexdigest()[:24]}.lex"
+    name = f"quirelake-{uuid.uuid4().hex}.lex"
     path = os.path.join(tempfile.mkdtemp(prefix="quirelake-"), name)
     with open(path, "wb") as f:
         f.write(block)
@@ -325,20 +432,25 @@ def code(df: DataFrame, finish, fields: list[T.StructField], text: str = "text",
         coder = _coder(SparkFiles.get(name), name + digest, load)
         for batch in batches:
             column, out = batch.column(batch.schema.get_field_index(text)), []
-            for value in column:
-                runs = coder.encode(value.as_py() or "")
-                out.append(finish(runs, coder.decode(runs)))
+            for a in range(0, len(column), 256):
+                for runs in coder.encode_many([x or "" for x in column.slice(a, 256).to_pylist()]):
+                    out.append(finish(runs, coder.decode(runs)))
             cols = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield appended(batch, {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
 
     return source.mapInArrow(run, schema)
 
 
+def numbers(runs: list[str]) -> np.ndarray:
+    """The ids of joined runs."""
+    return np.fromstring(",".join(runs), np.int32, sep=",") if runs else np.zeros(0, np.int32)
+
+
 def encode(df: DataFrame, text: str = "text", **kw) -> DataFrame:
     """df with n_tokens, token_ids and the text decoded from them."""
 
     def finish(runs: list[str], decoded: bytes) -> tuple:
-        ids = [int(i) for r in runs for i in r.split(",")]
+        ids = numbers(runs)
         return len(ids), ids, decoded.decode("utf-8", "replace")
 
     return code(df, finish, [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], text, **kw)
