@@ -134,14 +134,17 @@ def author_names(line: Column) -> Column:
     """J21: ";" parts authors; "&", "and" and "," do if every part is a whole name. Repeats (by key) go."""
     whole = lambda p: p.contains(" ") & ~p.rlike(r"(^|\s)\p{L}\.?$")
     names = F.filter(F.transform(F.split(F.coalesce(line, F.lit("")), ";"), collapse), lambda n: n != "")
-    for separator in (r"\s*&\s*|(?i)\s+and\s+", r"\s*,\s*"):
-
-        def part(n: Column, sep: str = separator) -> Column:
-            parts = F.filter(F.split(n, sep), lambda p: p != "")
+    def parted_at(separator: str):
+        def part(n: Column) -> Column:
+            parts = F.filter(F.split(n, separator), lambda p: p != "")
             return F.when((F.size(parts) > 1) & F.forall(parts, whole), parts).otherwise(F.array(n))
 
-        names = F.flatten(F.transform(names, part))
-    return names
+        return part
+
+    for separator in (r"\s*&\s*|(?i)\s+and\s+", r"\s*,\s*"):
+        names = F.flatten(F.transform(names, parted_at(separator)))
+    plain = lambda n: F.array_join(F.array_sort(F.regexp_extract_all(F.lower(n), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), " ")
+    return F.filter(names, lambda n, i: F.array_position(F.transform(names, plain), plain(n)) == i + 1)
 
 
 def _digit_sum(digits: Column, weights: list[int]) -> Column:
