@@ -203,8 +203,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", diges
     """df with n_words, n_removed and kept_text (its digest kept_sha256 if asked for)."""
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    least = 2 * partitions(spark)
-    chunks = max(least, -(-total // chunk_bytes))
+    chunks = max(partitions(spark), -(-total // chunk_bytes))
     log2 = (chunks - 1).bit_length()
     names = [c for c in without(df, NEW).columns]
     carried = names if text in names else [*names, text]
