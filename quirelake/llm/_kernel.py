@@ -40,9 +40,8 @@ _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n."""
     if _powers[0].size < n:
-        n = max(n, 1 << 16)
         for k, b in enumerate((BASE, BASE_INV)):
-            p = np.full(n, b, U)
+            p = np.full(max(n, 1 << 16), b, U)
             p[0] = 1
             _powers[k] = np.cumprod(p, dtype=U)
     return _powers[0][:n], _powers[1][:n]
