@@ -5,13 +5,14 @@ class has COORDINATES minwise tokens. In each of TREES independent trees a node
 BRANCHES coordinates of its own by a hash of its path, and a class follows the branch named by its token there.
 A pair of similarity 0.75 takes a common branch with probability 0.75 a coordinate, so it survives to any depth of
 a tree with probability 0.88 at least, and is met in some tree with probability 1 - 0.112**TREES, over 0.99998.
-Nodes of at most LEAF classes are compared exhaustively; larger ones branch again, to depth DEPTH. Nodes with the
-same members, met in several trees, are compared once.
+Nodes of at most LEAF classes are compared exhaustively: all pairs on their sketches, and what comes near on full
+sets. Larger ones branch again, to depth DEPTH, unless branching does not part them. Nodes with the same members,
+met in several trees, are compared once.
 
-What is still large at the last depth is a cluster of near copies. It is cut into tiles that differ from tree to
-tree, each compared exhaustively. If after that a large node still holds several components, all its tile pairs
-are compared too, but never two classes that are linked already; so a large node costs one pass as long as it is
-one component, and loses nothing if it isn't.
+What is still large is a cluster of near copies. It is cut into tiles that differ from tree to tree, each compared
+exhaustively. If after that a large node still holds several components, the classes outside its largest one go
+to all its tiles, and are compared with all that they are not linked to yet. So a large node costs one pass as long
+as it is one component, and loses nothing if it isn't.
 
 Links are confirmed on full sets of 64-bit shingle names; a leaf emits links that span its components, never all
 pairs. Null, empty and blank texts have an empty set and link with nothing. A text of 1 to 4 words is one
@@ -33,7 +34,12 @@ from ._shared import staged, table
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
-COORDINATES, TREES, BRANCHES, DEPTH, LEAF = 64, 5, 2, 4, 200
+COORDINATES, TREES, BRANCHES, DEPTH, LEAF = 32, 5, 2, 6, 200
+#: A child with this share of its parent's members is a cluster: branching doesn't part it.
+DENSE = 0.75
+#: Tokens of the sketch that a pair of a leaf must share to be compared on full sets. At similarity 0.75 fewer are
+#: shared with a probability of 0.00001.
+SKETCH = 12
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -58,14 +64,20 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, buf, offs in text_slices(batch.column(1)):
             sets = shingle_sets(buf, offs)
             size = np.array([s.size for s in sets], np.int64)
+            full = size > 0
+            flat = np.concatenate([*sets, np.zeros(0, U)])
+            at = (np.cumsum(size) - size)[full]
+
+            def by_text(ufunc: np.ufunc, x: np.ndarray, full: np.ndarray = full, at: np.ndarray = at) -> np.ndarray:
+                out = np.zeros(full.size, U)
+                if at.size:
+                    out[full] = ufunc.reduceat(x, at)
+                return out
+
             with np.errstate(over="ignore"):
-                flat = np.concatenate([*sets, np.zeros(1, U)])
-                at = np.concatenate([[0], np.cumsum(size)])
-                empty = size == 0
-                low = [np.where(empty, 0, np.minimum.reduceat((flat * a + b) >> U(32), at[:-1])) for a, b in zip(factors, adds, strict=True)]
-                total = lambda x: np.where(empty, U(0), np.add.reduceat(x, at[:-1]))
-                f1.append(mix(total(mix(flat ^ U(0xA5A5A5A5)))).view(np.int64))
-                f2.append(mix(total(mix(flat + U(0x5A5A5A5A)))).view(np.int64))
+                low = [by_text(np.minimum, (flat * a + b) >> U(32)) for a, b in zip(factors, adds, strict=True)]
+                f1.append(mix(by_text(np.add, mix(flat ^ U(0xA5A5A5A5)))).view(np.int64))
+                f2.append(mix(by_text(np.add, mix(flat + U(0x5A5A5A5A)))).view(np.int64))
             n.append(size)
             sig.append(np.stack(low, 1).astype(np.uint32).view(np.int32))
         if n:
@@ -149,8 +161,36 @@ def _children(path, sig):
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """Nodes of two classes or more: path, size and a digest of the members."""
-    return rows.groupBy("path").agg(F.count("*").alias("size"), F.sum(F.xxhash64("f1").bitwiseAND(F.lit((1 << 40) - 1))).alias("digest")).where("size > 1")
+    """Nodes of two classes or more: path, size, the parent's size and a digest of the members."""
+    digest = F.sum(F.xxhash64("f1").bitwiseAND(F.lit((1 << 40) - 1)))
+    return rows.groupBy("path").agg(F.count("*").alias("size"), F.max("parent").alias("parent"), digest.alias("digest")).where("size > 1")
+
+
+def _near_in_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (path, id, f1, sig) sorted by path: members that share enough tokens with another one of the node."""
+    path, rows = None, []
+
+    def done() -> list[tuple]:
+        sig = np.array([r[3] for r in rows], np.int32)
+        same = np.zeros((len(rows), len(rows)), np.int16)
+        for c in sig.T:
+            same += c[:, None] == c[None, :]
+        np.fill_diagonal(same, 0)
+        return [r[:3] for r, ok in zip(rows, (same >= SKETCH).any(axis=1), strict=True) if ok]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["path", "id", "f1"])
+
+    for batch in batches:
+        out: list[tuple] = []
+        sigs = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)
+        for row in zip(*(batch.column(i).to_pylist() for i in range(3)), sigs, strict=True):
+            if row[0] != path:
+                out += done() if len(rows) > 1 else []
+                path, rows = row[0], []
+            rows.append(row)
+        yield batch_of(out)
+    yield batch_of(done() if len(rows) > 1 else [])
 
 
 def _confirmed(members: DataFrame, docs: DataFrame) -> DataFrame:
@@ -171,43 +211,51 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     same_id = classes.groupBy("id").count().where("count > 1").isEmpty()
 
     roots = F.array(*[c for t in range(TREES) for c in _children(F.lit(t).cast("long"), F.col("sig"))])
-    rows = staged(classes.select("f1", "id", F.explode(roots).alias("path")), "paths")
-    leaves, large = [], None
+    rows = staged(classes.select("f1", "id", F.explode(roots).alias("path"), F.lit(None).cast("long").alias("parent")), "paths")
+    sigs = classes.select(F.col("f1").alias("_f"), "sig")
+    leaves, hot = [], []
     for depth in range(1, DEPTH + 1):
         nodes = staged(_nodes(rows), "tree-nodes")
-        small = nodes.where(F.col("size") <= LEAF)
-        leaves.append((small, rows))
-        large = nodes.where(F.col("size") > LEAF)
-        if depth == DEPTH or large.isEmpty():
+        leaves.append((nodes.where(F.col("size") <= LEAF), rows))
+        dense = F.lit(True) if depth == DEPTH else F.coalesce(F.col("size") >= DENSE * F.col("parent"), F.lit(False))
+        large = nodes.where(F.col("size") > LEAF).select(F.col("path").alias("_p"), "size", dense.alias("dense"))
+        if large.isEmpty():
             break
-        again = rows.join(large.select(F.col("path").alias("_p")), F.col("path") == F.col("_p")).select("f1", "path")
-        with_sig = again.join(classes.select(F.col("f1").alias("_f"), "id", "sig"), F.col("f1") == F.col("_f"))
-        rows = staged(with_sig.select("f1", "id", F.explode(F.array(*_children(F.col("path"), F.col("sig")))).alias("path")), "paths")
-    once = None
+        again = staged(rows.drop("parent").join(large, F.col("path") == F.col("_p")).drop("_p"), "large")
+        hot.append(again.where("dense").drop("dense"))
+        again = again.where("not dense").join(sigs, F.col("f1") == F.col("_f"))
+        rows = staged(again.select("f1", "id", F.explode(F.array(*_children(F.col("path"), F.col("sig")))).alias("path"), F.col("size").alias("parent")), "paths")
+    once, members = None, None
     for small, _ in leaves:
         once = small if once is None else once.union(small)
     once = staged(once.groupBy("size", "digest").agg(F.min("path").alias("_p")).select("_p"), "leaves")
-    members = None
     for _, level in leaves:
-        part = level.join(once, F.col("path") == F.col("_p")).select("path", "id", "f1", F.xxhash64("f1").alias("label"))
+        part = level.join(once, F.col("path") == F.col("_p")).select("path", "id", "f1")
         members = part if members is None else members.union(part)
-    hot = None
-    if large is not None and not large.isEmpty():
+    with_sig = members.join(sigs, F.col("f1") == F.col("_f")).select("path", "id", "f1", "sig")
+    members = with_sig.repartition("path").sortWithinPartitions("path", "id").mapInArrow(_near_in_sketch, "path bigint, id bigint, f1 bigint")
+    members = members.withColumn("label", F.xxhash64("f1"))
+    tiled = None
+    for part in hot:
+        tiled = part if tiled is None else tiled.union(part)
+    if tiled is not None and not tiled.isEmpty():
         tiles = F.ceil(F.col("size") / LEAF).cast("int")
-        hot = staged(rows.join(large.select(F.col("path").alias("_p"), tiles.alias("tiles")), F.col("path") == F.col("_p")).select("path", "id", "f1", F.pmod(F.xxhash64("path", "f1"), F.col("tiles")).cast("int").alias("tile"), "tiles"), "hot")
-        members = members.union(hot.select(F.xxhash64("path", "tile").alias("path"), "id", "f1", F.xxhash64("f1").alias("label")))
+        tiled = staged(tiled.withColumn("tiles", tiles).select("path", "id", "f1", F.pmod(F.xxhash64("path", "f1"), F.col("tiles")).cast("int").alias("tile"), "tiles"), "hot")
+        members = members.union(tiled.select(F.xxhash64("path", "tile").alias("path"), "id", "f1", F.xxhash64("f1").alias("label")))
+    else:
+        tiled = None
     links = staged(_confirmed(staged(members, "members"), docs), "pairs")
     labels = components(links)
-    if hot is not None:
-        joined = hot.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id"))
-        mixed = joined.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("path").alias("_p"))
-        rest = staged(joined.join(mixed, F.col("path") == F.col("_p")).select("path", "id", "f1", "label", "tile", "tiles"), "rest")
+    if tiled is not None:
+        joined = staged(tiled.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component"), "hot-labels")
+        counts = joined.groupBy("path", "label").agg(F.count("*").alias("n"))
+        largest = counts.groupBy(F.col("path").alias("_p")).agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        rest = staged(joined.join(largest, F.col("path") == F.col("_p")).drop("_p"), "rest")
         if not rest.isEmpty():
-            other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-            pairs = rest.select("*", other).where("tile <> other")
-            pairs = pairs.select(F.xxhash64("path", F.least("tile", "other"), F.greatest("tile", "other")).alias("path"), "id", "f1", "label")
-            several = pairs.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("path").alias("_p"))
-            more = staged(_confirmed(staged(pairs.join(several, F.col("path") == F.col("_p")).drop("_p"), "members"), docs), "pairs")
+            own = rest.select(F.xxhash64("path", "tile").alias("path"), "id", "f1", "label")
+            to = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("to")
+            minor = rest.where("label <> most").select("*", to).where("to <> tile").select(F.xxhash64("path", "to").alias("path"), "id", "f1", "label")
+            more = staged(_confirmed(staged(own.union(minor), "members"), docs), "pairs")
             labels = components(links.union(more))
     of_class = staged(classes.join(labels, F.col("id") == F.col("node"), "left").select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.coalesce("component", "id").alias("component")), "components")
     out = sketches.select("id", "n", "f1", "f2").join(of_class, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")), "left")
