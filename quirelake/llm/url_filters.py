@@ -34,30 +34,32 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-#: A small labelled URL table: (url without scheme, whether it is to be blocked).
-SEEDS = [
-    *((u, False) for u in """
-en.wikipedia.example/wiki/Book docs.python.example/3/library/re.html news.city.example/2024/05/council-budget
-blog.gardening.example/en/tomatoes www.university.example/department/history/courses library.example/catalogue/853
-shop.example/de/buecher/413 www.museum.example/fr/collection/12 forum.cycling.example/en/thread/217
-api.weather.example/v2/forecast m.recipes.example/es/sopa www.gov.example/forms/tax code.example/project/readme
-archive.example/details/letters www.school.example/en/timetable blog.travel.example/fr/414 journal.example/articles/10.html
-www.hospital.example/de/511 m.news.example/en/742/ radio.example/en/programme/98 www.theatre.example/fr/357
-blog.history.example/en/381 maps.example/route/north data.example/en/set/233 poetry.example/es/109
-www.science.example/en/853/ kids.example/en/stories/3 blog.music.example/de/925 m.football.example/en/results
-www.bank.example/help/contact jobs.example/de/49 www.church.example/en/sunday letters.example/fr/386.html
-""".split()),
-    *((u, True) for u in """
-best-casino-bonus.example/play/free-spins xxx-videos-hot.example/watch/8839 cheap-viagra-pills.example/buy-now
-online-poker-win.example/bonus/claim adult-cams-live.example/xxx/room/3 free-crack-keygen.example/download/setup.exe
-torrent-pirate-movies.example/magnet/771 payday-loans-fast.example/apply?aff=9 win-iphone-prize.example/claim/free-gift
-hot-singles-dating.example/sex/chat click-track-ads.example/redirect/popunder replica-watches-sale.example/cheap/rolex
-porn-tube-free.example/videos/xxx casino-slots-jackpot.example/signup/bonus buy-followers-cheap.example/promo/spam
-verify-account-login.example/secure/update-password crypto-doubler-invest.example/free-coins warez-serials.example/crack/keygen
-escort-girls-city.example/adult/list betting-odds-tips.example/bet/bonus malware-codec-update.example/install/flash.exe
-sexy-nude-pics.example/gallery/porn diet-pills-miracle.example/order/discount lottery-winner-claim.example/prize/claim
-""".split()),
-]
+#: Words that blocked and clean hosts and paths are made of.
+BAD = """casino bonus poker jackpot betting xxx porn adult cams sexy escort viagra pills replica torrent warez crack keygen
+malware phishing payday loans lottery winner popunder spam ads track cheap free bets farm win""".split()
+GOOD = """wiki docs news blog library museum school university weather recipes forum journal archive maps travel history
+science theatre council shop help jobs poetry music stories garden""".split()
+
+
+def seeds() -> list[tuple[str, bool]]:
+    """A small labelled URL table, (url without scheme, whether to block it), made by one rule for both kinds: words in
+    the host and in the path, with the same subdomains, endings, language folders and numbers."""
+    out, ends, folders, subs = [], ("com", "net", "org"), ("en", "de", "fr", "es"), ("www.", "", "m.", "blog.")
+    for words, blocked in ((GOOD, False), (BAD, True)):
+        n = len(words)
+        for i in range((10 if blocked else 4) * n):
+            a, b, c = words[i % n], words[(7 * i + 3) % n], words[(11 * i + 5) % n]
+            host = f"{subs[i % 4]}{a}-{b}.example.{ends[i % 3]}" if i % 2 else f"{subs[i % 4]}{a}{i % 10}.example.{ends[i % 3]}"
+            path = (f"/{folders[(i // 2) % 4]}/{c}/{37 * i % 1000}", f"/{folders[i % 4]}/{37 * i % 1000}.html", f"/{c}/{b}")[i % 3]
+            out.append((host + path, blocked))
+    rng = np.random.default_rng(5)  # clean hosts of no known word: what the table doesn't know is no reason to block
+    for i in range(200):
+        word = "".join(rng.choice(list("aeiorstnhldcmu"), int(rng.integers(4, 10))))
+        out.append((f"{subs[i % 4]}{word}.example.{ends[i % 3]}/{folders[(i // 2) % 4]}/{37 * i % 1000}{('', '/', '.html')[i % 3]}", False))
+    return out
+
+
+SEEDS = seeds()
 
 NEW = ["host", "path", "rule", "rule_verdict", "score", "verdict"]
 
@@ -101,15 +103,17 @@ def grams(parts: list[tuple[str, str]], log2: int, sizes: tuple[int, ...] = (3,
 @dataclass(frozen=True)
 class UrlModel:
     weights: np.ndarray
+    rarity: np.ndarray  # of each bucket in the labelled table; 0 where it has none
     bias: float
     log2: int
 
     def scores(self, parts: list[tuple[str, str]]) -> np.ndarray:
         """Probability that each (host, path) is to be blocked."""
         b, r = grams(parts, self.log2)
-        total = np.bincount(r, self.weights[b], len(parts))
-        count = np.maximum(np.bincount(r, minlength=len(parts)), 1)
-        return 1 / (1 + np.exp(-np.clip(total / np.sqrt(count) + self.bias, -60, 60)))
+        rare = self.rarity[b]
+        total = np.bincount(r, self.weights[b] * rare, len(parts))
+        norm = np.sqrt(np.bincount(r, rare**2, len(parts)))
+        return 1 / (1 + np.exp(-np.clip(total / np.maximum(norm, 1e-9) + self.bias, -60, 60)))
 
 
 def split_url(url: str) -> tuple[str, str]:
@@ -122,15 +126,18 @@ def fit(labelled: list[tuple[str, bool]] = SEEDS, log2: int = 16, epochs: int =
     w, bias, rng = np.zeros(1 << log2), 0.0, np.random.default_rng(seed)
     feats = [np.unique(grams([split_url(u)], log2)[0], return_counts=True) for u, _ in labelled]
     y = np.array([b for _, b in labelled], float)
+    seen = np.bincount(np.concatenate([b for b, _ in feats]), minlength=1 << log2)
+    rarity = np.where(seen > 0, np.log((len(labelled) + 1) / (seen + 0.5)), 0.0)
     for epoch in range(epochs):
         for i in rng.permutation(len(labelled)):
             b, c = feats[i]
-            x = c / np.sqrt(c.sum())
+            x = c * rarity[b]
+            x = x / np.sqrt(c @ rarity[b] ** 2)
             p = 1 / (1 + np.exp(-np.clip(w[b] @ x + bias, -60, 60)))
             step = rate / (1 + 0.1 * epoch)
             w[b] -= step * ((p - y[i]) * x + decay * w[b])
             bias -= step * 0.1 * (p - y[i])
-    return UrlModel(w.astype(np.float32), float(bias), log2)
+    return UrlModel(w, rarity, float(bias), log2)
 
 
 def apply_filters(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] | None = None, model: UrlModel | None = None, threshold: float = 0.5) -> DataFrame:
