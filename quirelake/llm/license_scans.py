@@ -66,9 +66,10 @@ def _versioned() -> list[tuple[str, str, str]]:
             label, version = f"{family}-{v.replace(' ', '.')}", f"(?: version| v)? v?{v}(?: 0)?"
             out.append((label, name + version, key))
             if key == "gpl":
+                full = name.replace("gpl|", "").replace("?:l(", "?:(").replace("?:a(", "?:(")
+                out += [(f"{label}-only", f"{full}{version} only", "licen"), (f"{label}-or-later", f"{full}{version} or(?: any)? later(?: version)?", "licen"), (label, full + version, "licen")]
                 out.append((f"{label}-only", f"{name}{version} only", key))
                 out.append((f"{label}-or-later", f"{name}{version} or(?: any)? later(?: version)?", key))
-                out.append((label, f"{name.replace('gpl|', '').replace('?:l(', '?:(').replace('?:a(', '?:(')}{version}", "licen"))
     for kind, long in _CC.items():
         for v in ("1 0", "2 0", "2 5", "3 0", "4 0"):
             label = f"cc-{kind.replace(' ', '-')}-{v.replace(' ', '.')}"
