@@ -6,7 +6,8 @@
 3. A source is cut into 2**k blocks by the leading bits of a seeded hash of the document. Draws of blocks are
    numbered pass by pass: pass p visits all blocks in an affine permutation of its own. A source whose target is
    whole passes plus a rest takes whole blocks of the last pass while they fit, and of the one block after them
-   the documents in hash order while they fit, and the one document more that comes nearest to what is left. So the quota of blocks of a source is exact.
+   the documents in hash order while they fit, and then up to FILLERS documents more, each the
+   largest that fits, the last the nearest to what is left. So the quota of blocks of a source is exact.
 4. The tree: the vector of all sources' block quotas is split between the left and the right half of the output
    shards by a multivariate hypergeometric draw, and so on down to one shard. Shard j then owns a run of each
    source's permuted draws: disjoint, and together exactly the quota.
@@ -34,6 +35,8 @@ from ._shared import WORD, staged, table, without
 WEIGHTS, TOTAL_PERCENT, MAX_REPEATS = (5, 2, 1), 150, 2
 #: Documents per block at least, and the most blocks of one source (a power of two).
 BLOCK_DOCS, MAX_BLOCKS, MAX_SOURCES = 64, 4096, 10_000
+#: Documents of the last block that may be taken out of order, to come near the target.
+FILLERS = 4
 #: Words of an output shard, if the number of shards is not given, and the most shards.
 SHARD_WORDS, MAX_SHARDS = 4_000_000, 1024
 _H = "__quirelake_"
@@ -50,7 +53,7 @@ class Source:
     passes: int = 0
     whole: int = 0
     cut: int | None = None  # hash up to which the last block's documents are taken
-    filler: int | None = None  # hash of one document more, the nearest to what is then left
+    fillers: list[int] = field(default_factory=list)  # hashes of a few documents more, for what is then left
     bounds: list[int] = field(default_factory=list)  # draws before each shard's end
 
     @property
@@ -112,9 +115,9 @@ def _source_table(spark: SparkSession, sources: list[Source], seed: int) -> Data
     rows = []
     for i, s in enumerate(sources):
         odd = [_odd(seed, i, t) for t in range(MAX_REPEATS + 1)]
-        rows.append((s.name, s.size, float(s.target), s.bits, s.passes, s.whole, s.cut, s.filler, [a for a, _ in odd], [b for _, b in odd], s.bounds))
-    schema = "k string, source_size long, target double, bits int, passes int, whole int, cut long, filler long, factors array<int>, shifts array<int>, bounds array<int>"
-    names = [f"{_H}{n}" for n in ("k", "source_size", "target", "bits", "passes", "whole", "cut", "filler", "factors", "shifts", "bounds")]
+        rows.append((s.name, s.size, float(s.target), s.bits, s.passes, s.whole, s.cut, s.fillers, [a for a, _ in odd], [b for _, b in odd], s.bounds))
+    schema = "k string, source_size long, target double, bits int, passes int, whole int, cut long, fillers array<long>, factors array<int>, shifts array<int>, bounds array<int>"
+    names = [f"{_H}{n}" for n in ("k", "source_size", "target", "bits", "passes", "whole", "cut", "fillers", "factors", "shifts", "bounds")]
     return spark.createDataFrame(rows, schema).toDF(*names)
 
 
@@ -162,13 +165,18 @@ def plan(df: DataFrame, key: list[str], text: str = "text", source: str = "sourc
     room = dict.fromkeys(of, 0.0) | {s.name: s.rest - taken[s.name] for s in found}
     for k, cut, words in part.where(F.col("run") <= F.col("rest")).groupBy(h("k")).agg(F.max(h("hash")), F.max("run")).collect():
         of[k].cut, room[k] = int(cut), room[k] - int(words)
-    over = part.where(F.col("run") > F.col("rest")).drop("rk", "rest")
-    left = spark.createDataFrame([(k, float(v)) for k, v in room.items()], "rk string, rest double")
-    gap = F.abs(F.col("rest") - h("size"))
-    closer = over.join(left, F.col(_H + "k").eqNullSafe(F.col("rk"))).where(gap < F.col("rest"))
-    for k, extra in closer.groupBy(h("k")).agg(F.min_by(h("hash"), F.struct(gap, h("hash")))).collect():
-        of[k].filler = int(extra)
-    quotas = np.array([s.passes * (1 << s.bits) + s.whole + (s.cut is not None or s.filler is not None) for s in found], np.int64)
+    over = staged(part.where(F.col("run") > F.col("rest")).select(h("k"), h("hash"), h("size")), "mix-rest")
+    for turn in range(FILLERS):
+        # the largest document that still fits; at last the one that comes nearest
+        chosen = [(k, float(v), of[k].fillers or []) for k, v in room.items()]
+        left = spark.createDataFrame(chosen, "rk string, rest double, used array<long>")
+        open_ = over.join(left, F.col(_H + "k").eqNullSafe(F.col("rk"))).where(~F.array_contains("used", h("hash")) & (h("size") > 0))
+        gap = F.abs(F.col("rest") - h("size"))
+        fit = gap < F.col("rest") if turn == FILLERS - 1 else h("size") <= F.col("rest")
+        for k, extra, words in open_.where(fit).groupBy(h("k")).agg(F.min_by(h("hash"), F.struct(gap, h("hash"))), F.min_by(h("size"), F.struct(gap, h("hash")))).collect():
+            of[k].fillers.append(int(extra))
+            room[k] -= int(words)
+    quotas = np.array([s.passes * (1 << s.bits) + s.whole + (s.cut is not None or bool(s.fillers)) for s in found], np.int64)
     counts = splitting_tree(quotas, shards, np.random.default_rng(seed)).cumsum(axis=0)
     for i, s in enumerate(found):
         s.bounds = [int(x) for x in counts[:, i]]
@@ -207,7 +215,7 @@ def _draws() -> Column:
         lambda t: shard(F.call_function("shiftleft", F.lit(1), h("bits")) * t + _place(_block(), h("bits"), F.get(h("factors"), t), F.get(h("shifts"), t))),
     )
     at = _last_place()
-    taken = (at < h("whole")) | ((at == h("whole")) & (F.coalesce(h("hash") <= h("cut"), F.lit(False)) | h("hash").eqNullSafe(h("filler"))))
+    taken = (at < h("whole")) | ((at == h("whole")) & (F.coalesce(h("hash") <= h("cut"), F.lit(False)) | F.array_contains(h("fillers"), h("hash"))))
     extra = F.array(shard(F.call_function("shiftleft", F.lit(1), h("bits")) * h("passes") + at))
     return F.concat(full, F.when(taken, extra).otherwise(F.array().cast("array<int>")))
 
