@@ -1,7 +1,7 @@
 """Near-duplicate embeddings through a pivot-permutation index.
 
 Equal vectors become one class first. Reference points (pivots) are a bounded sample of the classes, about twice
-the square root of their number. Each class is described by its NEAREST nearest pivots, in order, and posted to
+the square root of their number, of which none links to another. Each class is described by its NEAREST nearest pivots, in order, and posted to
 the inverted lists of the first POSTED of them. Two classes of one list whose descriptions share SHARED pivots at
 least are candidates, and a candidate is verified by its cosine in double precision. Long lists are cut into tiles
 of TILE classes, and all pairs of tiles are compared, so no list is capped and no task grows with a list. A pair in
@@ -26,7 +26,7 @@ from ._shared import staged, table
 from .components import components
 
 THRESHOLD = 0.9
-#: Pivots are at most MAX_PIVOTS sampled classes.
+#: Pivots are at most MAX_PIVOTS of 4 times as many sampled classes.
 MAX_PIVOTS, NEAREST, POSTED, SHARED, TILE = 1024, 10, 4, 2, 1024
 
 
@@ -39,6 +39,15 @@ def _units(col: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def _apart(units: list[np.ndarray], n: int) -> np.ndarray:
+    """The first n that link to none before them: a dense cluster gets one pivot, so its members agree on it."""
+    out = np.zeros((0, units[0].size))
+    for u in units:
+        if len(out) < n and not (out @ u >= THRESHOLD).any():
+            out = np.vstack([out, u])
+    return out
+
+
 def _spanning(link: np.ndarray) -> np.ndarray:
     """Each node's smallest reachable node in a symmetric link matrix."""
     label = np.arange(link.shape[0])
@@ -91,11 +100,9 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding")
     classes = staged(v.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
     total = classes.count()
     n_pivots = min(MAX_PIVOTS, max(16, int(2 * total**0.5)))
-    sample = classes.orderBy(F.xxhash64("v"), "rep").limit(n_pivots).select("v").toArrow()["v"].combine_chunks()
-    pivots: dict[int, np.ndarray] = {}
+    sample = classes.orderBy(F.xxhash64("v"), "rep").limit(4 * n_pivots).select("v").toArrow()["v"].combine_chunks()
     units = _units(sample)
-    for size in {u.size for u in units}:
-        pivots[size] = np.stack([u for u in units if u.size == size])
+    pivots = {size: _apart([u for u in units if u.size == size], n_pivots) for size in {u.size for u in units}}
 
     def describe(batches):
         for batch in batches:
