@@ -323,6 +323,11 @@ class Coder(dict):
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.v, self.lexicon, self.spelled = vocabulary, lexicon, {}
 
+    def forget(self) -> None:
+        """Workers live on between tasks; their memos don't, so that the next stage has the memory."""
+        self.clear()
+        self.spelled.clear()
+
     def _learn(self, words: list[str]) -> None:
         """Ids of new words: special ones, the lexicon's, and the rest merged."""
         unseen, found = [], []
@@ -359,8 +364,7 @@ class Coder(dict):
                 size += len(texts[i])
                 i += 1
             if len(self) > MEMO_WORDS:
-                self.clear()
-                self.spelled.clear()
+                self.forget()
             new = {w for ws in split for w in ws if w not in self}
             self._learn(list(new))
             for ws in split:
@@ -437,6 +441,7 @@ def code(df: DataFrame, finish, fields: list[T.StructField], text: str = "text",
                     out.append(finish(runs, coder.decode(runs)))
             cols = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield appended(batch, {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
+        coder.forget()
 
     return source.mapInArrow(run, schema)
 
