@@ -161,9 +161,13 @@ def _children(path, sig):
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """Nodes of two classes or more: path, size, the parent's size and a digest of the members."""
-    digest = F.sum(F.xxhash64("f1").bitwiseAND(F.lit((1 << 40) - 1)))
-    return rows.groupBy("path").agg(F.count("*").alias("size"), F.max("parent").alias("parent"), digest.alias("digest")).where("size > 1")
+    """Nodes of two classes or more: path, size, the parent's size and a digest of the members in two 64-bit words.
+
+    A node that shares its digest with another one is not compared, so 128 bits keep 10**9 nodes and more apart.
+    Exclusive or does not overflow in large nodes.
+    """
+    digest, second = F.bit_xor(F.xxhash64("f1")), F.bit_xor(F.xxhash64(F.lit(1), "f1"))
+    return rows.groupBy("path").agg(F.count("*").alias("size"), F.max("parent").alias("parent"), digest.alias("digest"), second.alias("second")).where("size > 1")
 
 
 def _near_in_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +232,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     once, members = None, None
     for small, _ in leaves:
         once = small if once is None else once.union(small)
-    once = staged(once.groupBy("size", "digest").agg(F.min("path").alias("_p")).select("_p"), "leaves")
+    once = staged(once.groupBy("size", "digest", "second").agg(F.min("path").alias("_p")).select("_p"), "leaves")
     for _, level in leaves:
         part = level.join(once, F.col("path") == F.col("_p")).select("path", "id", "f1")
         members = part if members is None else members.union(part)

@@ -326,6 +326,14 @@ def test_large_clusters_of_near_copies(spark):
     assert all(got[i] == 0 for i in range(450)) and all(got[1000 + i] == 1000 + i for i in range(5))
 
 
+def test_nodes_of_equal_short_digests_are_all_compared(spark):
+    # The 40-bit hashes of 237349's two texts have the same sum as those of 3168948's, and so on.
+    heads = [237349, 3168948, 2327533, 2393449, 929873, 2480078]
+    rows = [(2 * i + k, f"a b c d e{n} f g" + " h" * k) for i, n in enumerate(heads) for k in (0, 1)]
+    got = {r.id: r.component_id for r in near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(12)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(3, 2), (2, 9), (9, 1), (5, 6), (6, 6)], "a long, b long")
     assert {r.node: r.component for r in components.components(links).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5}
