@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,19 +38,19 @@ def best_reason(*edges: DataFrame, different: DataFrame | None = None) -> DataFr
     return all_.groupBy("a", "b").agg(name.alias("reason"))
 
 
-def similar_titles(left: DataFrame, right: DataFrame, least: float = keys.SAME_TITLE) -> DataFrame:
-    """Pairs (left_id, right_id, score) with a Jaccard likeness of telling words of `least` or more.
+def similar_titles(left: DataFrame, right: DataFrame, least: float = keys.SAME_TITLE, within: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (left_id, right_id, score) with a Jaccard likeness of telling words of `least` or more.
 
     Pairs are found through shared words and their overlap is counted there, so only titles with a word in
-    common meet. Inputs have id and title.
+    common meet. Inputs have id and title. Only rows that agree in the columns `within` are compared.
     """
 
     def words(df: DataFrame, side: str) -> DataFrame:
-        return df.select(F.col("id").alias(f"{side}_id"), keys.telling_words(F.col("title")).alias("w")).select(f"{side}_id", F.size("w").alias(f"{side}_n"), F.explode("w").alias("word"))
+        return df.select(*within, F.col("id").alias(f"{side}_id"), keys.telling_words(F.col("title")).alias("w")).select(*within, f"{side}_id", F.size("w").alias(f"{side}_n"), F.explode("w").alias("word"))
 
-    both = words(left, "left").join(words(right, "right"), "word").groupBy("left_id", "right_id", "left_n", "right_n").agg(F.count("*").alias("both"))
+    both = words(left, "left").join(words(right, "right"), [*within, "word"]).groupBy(*within, "left_id", "right_id", "left_n", "right_n").agg(F.count("*").alias("both"))
     score = F.col("both") / (F.col("left_n") + F.col("right_n") - F.col("both"))
-    return both.withColumn("score", score).where(F.col("score") >= least).select("left_id", "right_id", "score")
+    return both.withColumn("score", score).where(F.col("score") >= least).select(*within, "left_id", "right_id", "score")
 
 
 def rank_matches(matches: DataFrame, lookup: str, top: int = 5) -> DataFrame:
@@ -61,9 +62,53 @@ def rank_matches(matches: DataFrame, lookup: str, top: int = 5) -> DataFrame:
     return shown.withColumn("place", place).where(F.col("place") <= top)
 
 
-def merge_catalogues(preferred: DataFrame, other: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One row a key; the preferred source's values, its gaps filled from the other."""
+def _filled(side: str, field: str, other: str):
+    return F.coalesce(F.nullif(F.col(f"{side}.{field}"), F.lit("")), F.col(f"{other}.{field}")).alias(field)
+
+
+def merge_catalogues(preferred: DataFrame, other: DataFrame, key: str, fields: list[str], title: str | None = None, author: str | None = None, rank: str | None = None) -> DataFrame:
+    """One row a book; the preferred source's values, its gaps filled from the other.
+
+    Rows of one key are one book. With `title` and `author`, two of the fields, so are rows of different keys in
+    different sources with the same telling words in the title and an author in common. Those are taken in the order
+    of `rank`, a column of both inputs, then the preferred source first, then by key; each joins the first that fits.
+    """
     a, b = preferred.alias("a"), other.alias("b")
-    filled = [F.coalesce(F.nullif(F.col(f"a.{f}"), F.lit("")), F.col(f"b.{f}")).alias(f) for f in fields]
     source = F.when(F.col(f"a.{key}").isNull(), "other").when(F.col(f"b.{key}").isNull(), "preferred").otherwise("both")
-    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *filled, source.alias("source"))
+    order = F.least(f"a.{rank}", f"b.{rank}") if rank else F.lit(0)
+    rows = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *[_filled("a", f, "b") for f in fields], source.alias("source"), order.alias("_rank"))
+    if title is None or author is None:
+        return rows.drop("_rank")
+    same = _same_books(rows, key, title, author)
+    found = rows.join(same.withColumnRenamed("_key", key), key)
+    gaps = found.groupBy(F.col("_into").alias(key)).agg(*[F.min_by(f, F.when(F.coalesce(F.nullif(F.col(f), F.lit("")).isNotNull(), F.lit(False)), F.col("_at"))).alias(f) for f in fields])
+    a, b = rows.join(same, F.col(key) == F.col("_key"), "left_anti").alias("a"), gaps.alias("b")
+    source = F.when(F.col(f"b.{key}").isNotNull(), "both").otherwise(F.col("a.source"))
+    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "left").select(F.col(f"a.{key}").alias(key), *[_filled("a", f, "b") for f in fields], source.alias("source"))
+
+
+def _same_books(rows: DataFrame, key: str, title: str, author: str) -> DataFrame:
+    """(_key, _into, _at): rows of the other source and the preferred row they belong to, in the order found.
+
+    A likeness of 1 is equal telling words, so these are the groups; each is one fold, as the order decides.
+    """
+    names = F.filter(keys.telling_words(F.col(author)), lambda w: F.length(w) > 1)
+    one = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), "_rank", (F.col("source") == "other").cast("int").alias("_side"), F.array_sort(keys.telling_words(F.col(title))).alias("_words"), names.alias("_names"))
+    one = one.where((F.size("_words") > 0) & (F.size("_names") > 0))
+    both = one.groupBy("_words").agg(F.min("_side").alias("low"), F.max("_side").alias("high")).where("low < high").select("_words")
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["_rank", "_side", "_key"])
+        results, out = [], []
+        for k, side, w in zip(t["_key"], t["_side"], map(set, t["_names"]), strict=True):
+            i = next((i for i, r in enumerate(results) if r[1] != side and r[2] & w), None)
+            if i is None:
+                results.append((k, side, w))
+                continue
+            main, gone = ((k, side, w), results[i]) if side == 0 else (results[i], (k, side, w))
+            out.append((gone[0], main[0], len(out)))
+            results[i] = main
+        return pd.DataFrame(out, columns=["_key", "_into", "_at"])
+
+    kind = one.schema["_key"].dataType.simpleString()
+    return one.join(both, "_words", "left_semi").groupBy("_words").applyInPandas(run, f"_key {kind}, _into {kind}, _at long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.operators import resolve
+
 MAX_GAPS = 50
 
 
@@ -38,7 +40,14 @@ def gaps(places: DataFrame, series: str, removed: DataFrame | None = None) -> Da
 
 
 def missing(places: DataFrame, listed: DataFrame, series: str, removed: DataFrame, everything: bool = False) -> DataFrame:
-    """Listed members not held and not removed; without `everything` those from 1 to below the highest."""
+    """Listed members not held and not removed; without `everything` those from 1 to below the highest.
+
+    If both inputs have a title, a listed member is also held when a book of the series has the same title.
+    """
+    if "title" in listed.columns and "title" in places.columns:
+        titles = lambda df: df.select(series, F.col("title").alias("id"), "title").distinct()
+        same = resolve.similar_titles(titles(listed), titles(places), within=(series,)).select(series, F.col("left_id").alias("title")).distinct()
+        listed = listed.join(same, [series, "title"], "left_anti")
     out = listed.join(held(places, series), [series, "number"], "left_anti").join(removed, [series, "number"], "left_anti")
     return out if everything else out.join(highest(series, places), series).where("number >= 1 and number < top").drop("top")
 

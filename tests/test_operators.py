@@ -69,6 +69,22 @@ def test_merge_and_rank(spark):
     assert sorted((r.l, r.key, r.place) for r in resolve.rank_matches(m, "l").collect()) == [("x", "b", 1), ("y", "c", 1)]
 
 
+def test_catalogues_with_different_keys_merge(spark):
+    cols = "key string, title string, author string, series string, rank int"
+    a = spark.createDataFrame([("h1", "The Dune", "Frank Herbert", "", 1), ("h2", "Dune", "Brian Herbert", "", 5), ("h3", "Emma", "Jane Austen", "", 1), ("x", "It", "S. King", "", 1)], cols)
+    b = spark.createDataFrame([("o1", "Dune", "Herbert, Frank", "Dune", 2), ("o2", "DUNE!", "F. Herbert", "Other", 3), ("o3", "Emma", "J. Other", "No", 1), ("o4", "Dune Messiah", "Frank Herbert", "Dune", 1), ("x", "It", "", "Key", 2)], cols)
+    got = resolve.merge_catalogues(a, b, "key", ["title", "author", "series"], title="title", author="author", rank="rank")
+    want = {"h1": ("Dune", "both"), "h2": (None, "preferred"), "h3": (None, "preferred"), "x": ("Key", "both"), "o3": ("No", "other"), "o4": ("Dune", "other")}
+    assert {r.key: (r.series, r.source) for r in got.collect()} == want
+
+
+def test_books_held_under_another_number_are_not_missing(spark):
+    places = spark.createDataFrame([("s", 1.0, None, "One"), ("s", 5.0, None, "Five"), ("s", None, None, "The Second Tale"), ("t", 9.0, None, "Third")], "series string, position double, position_end double, title string")
+    listed = spark.createDataFrame([("s", 2.0, "Second Tale"), ("s", 3.0, "Third"), ("s", 4.0, None), ("s", 1.0, "Uno")], "series string, number double, title string")
+    removed = spark.createDataFrame([], "series string, number double")
+    assert sorted(r.number for r in series.missing(places, listed, "series", removed).collect()) == [3.0, 4.0]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_diff_turns_one_text_into_the_other(seed):
     r = random.Random(seed)
