@@ -487,6 +487,13 @@ def title_jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.similar_titles(t, t, 0.1).where("left_id < right_id").withColumn("score", F.round("score", 6))
 
 
+@query("text_jaccard_match")
+def text_jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J19, J20, H04 over the whole texts of benchmark items, at a bar of 0.05: the likeliest pair of the smallest table has 0.099."""
+    t = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"))
+    return resolve.similar_titles(t, t, 0.05).where("left_id < right_id").withColumn("score", F.round("score", 6))
+
+
 @query(
     "rank_matches_top5",
     """
