@@ -684,7 +684,7 @@ def hyphen_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("html_links", "select page_id, h.href, count(*) n from (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) href from pages) h group by page_id, h.href")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Link targets of pages."""
+    """Link targets of pages, as written."""
     links = _t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
     return links.groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
