@@ -1,4 +1,4 @@
-"""Tables written once to the shared folder, to cut lineage where a plan is read again and again."""
+"""Tables written once to the cluster's shared folder, to cut lineage where a plan is read again and again."""
 
 from __future__ import annotations
 
@@ -7,16 +7,36 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only one machine (tests) gets a temporary one where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="quirelake-")
         atexit.register(shutil.rmtree, at, True)
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/quirelake-table-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def staged(df: DataFrame, what: str = "table") -> DataFrame:
+    """df written once to the shared folder and read back: a lost executor loses nothing."""
+    path = f"{shared_dir(df.sparkSession)}/quirelake-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quirelake_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        at = getattr(df, "_quirelake_path", None)
+        if at:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
