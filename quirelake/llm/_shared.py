@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.operators.staging import release, shared_dir, staged  # noqa: F401
+
 #: Spark and DuckDB write the same class of characters differently; these are Java regexes.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\f\r"
@@ -21,24 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where none is set (one machine, tests) a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="quirelake-")
-        atexit.register(shutil.rmtree, at, True)
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def staged(df: DataFrame, what: str = "stage") -> DataFrame:
-    """df written once to the shared folder and read back: its lineage is cut and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/quirelake-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string")) % F.lit(n)

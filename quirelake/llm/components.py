@@ -1,36 +1,5 @@
-"""Connected components of a link table by hooking and contraction, all in Spark.
+"""Connected components of links between documents or vectors: the library's own."""
 
-Each round every node hooks onto its smallest smaller neighbour, pointers are doubled, and the links are rewritten
-to what their ends now point at; links inside one node and repeats go. The smallest node of a component never
-moves, so it is what remains. Rounds are logarithmic in the size of a component. Every round's tables are written
-to the shared folder: nothing is collected, and hot nodes meet only in joins whose inputs are plain exchanges,
-which Spark splits when they are skewed.
-"""
+from quirelake.operators.graph import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ._shared import staged
-
-
-def _moved(df: DataFrame, moves: DataFrame, column: str) -> DataFrame:
-    to = moves.select(F.col("child").alias("_child"), F.col("parent").alias("_parent"))
-    return df.join(to, F.col(column) == F.col("_child"), "left").withColumn(column, F.coalesce("_parent", column)).drop("_child", "_parent")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of links (a, b); component is the smallest node reachable."""
-    lo, hi = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    links = staged(links.where("a <> b").select(lo, hi).distinct(), "links")
-    labels = staged(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().select("node", F.col("node").alias("component")), "nodes")
-    left = links
-    while not left.isEmpty():
-        moves = staged(left.groupBy(F.col("b").alias("child")).agg(F.min("a").alias("parent")), "moves")
-        for _ in range(2):
-            moves = staged(_moved(moves, moves, "parent"), "moves")
-        labels = staged(_moved(labels, moves, "component"), "labels")
-        both = _moved(_moved(left, moves, "a"), moves, "b").where("a <> b")
-        left = staged(both.select(lo, hi).distinct(), "links")
-    return labels
+__all__ = ["components"]

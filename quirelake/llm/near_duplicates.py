@@ -1,45 +1,53 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document's set is its distinct 5-word shingles. Equal sets become one class first, so copies cost nothing. Each
-class has COORDINATES minwise tokens. In each of TREES independent trees a node (a set of classes) picks
-BRANCHES coordinates of its own by a hash of its path, and a class follows the branch named by its token there.
-A pair of similarity 0.75 takes a common branch with probability 0.75 a coordinate, so it survives to any depth of
-a tree with probability 0.88 at least, and is met in some tree with probability 1 - 0.112**TREES, over 0.99998.
-Nodes of at most LEAF classes are compared exhaustively: all pairs on their sketches, and what comes near on full
-sets. Larger ones branch again, to depth DEPTH, unless branching does not part them. Nodes with the same members,
-met in several trees, are compared once.
-
-What is still large is a cluster of near copies. It is cut into tiles that differ from tree to tree, each compared
-exhaustively. If after that a large node still holds several components, the classes outside its largest one go
-to all its tiles, and are compared with all that they are not linked to yet. So a large node costs one pass as long
-as it is one component, and loses nothing if it isn't.
-
-Links are confirmed on full sets of 64-bit shingle names; a leaf emits links that span its components, never all
-pairs. Null, empty and blank texts have an empty set and link with nothing. A text of 1 to 4 words is one
-shingle. Rows of the same id are one document: they share its component. Null ids take no part, are their own
-group and are kept. An empty table gives an empty result; extra columns are not looked at.
+class has COORDINATES minwise tokens. In each of TREES independent trees a node (a set of classes) picks one
+coordinate, or with a chance of 1 in 3 two, by a hash of its path, and a class follows the branch named by its
+token there: a pair of similarity 0.75 shares one branch a level on average, so rows don't multiply with depth and
+the trees together meet a pair of a small node with probability 1 - 0.19**TREES.
+
+1. Nodes of at most LEAF classes are leaves. All pairs of a leaf are compared on their minwise tokens, and what
+   shares SKETCH tokens or more is a candidate. Leaves with the same members are compared once.
+2. A larger node is a cluster of near copies, or texts that share a passage. It is cut into tiles that all hold the
+   node's smallest class too, so one pass over the node finds a cluster's links. Classes that share CLOSE tokens get
+   one label. Pairs of one label need no further comparison: a node whose members have one label is done, one that
+   has few pairs of different labels is a leaf, and only the others branch again.
+3. The full sets of all candidates are computed in one pass over the texts and written once. Links are confirmed on
+   them, and their components are the groups.
+4. Labels were set before links were confirmed. Where a label does not lie in one component, its classes go through
+   the trees again, this time with components as labels and every level confirmed on the written sets.
+
+Nodes that are still large at level DEPTH are compared tile by tile, all pairs of tiles. Only ids travel through
+the levels; a group of candidates has no more members than its leaf or tile. Nothing is dropped, capped or sampled:
+what a pair can miss is the trees' chance and that of sharing fewer than SKETCH of COORDINATES tokens (2e-7).
+
+Null, empty and blank texts have an empty set and link with nothing. A text of 1 to 4 words is one shingle. Texts
+are read whole, in slices of whole texts, whatever their length. Rows of the same id are one document: they share
+its component. Repeated rows and equal sets are one class; of equals the smallest id names the group, so ties need
+no order. Null ids take no part, are their own group and are kept. An empty table gives an empty result; extra
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._kernel import ASCII_LOWER, U, _stream, mix, text_slices, window_names, word_names, words
-from ._shared import staged, table
+from ._shared import release, staged, table
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
-COORDINATES, TREES, BRANCHES, DEPTH, LEAF = 32, 5, 2, 6, 200
-#: A child with this share of its parent's members is a cluster: branching doesn't part it.
-DENSE = 0.75
-#: Tokens of the sketch that a pair of a leaf must share to be compared on full sets. At similarity 0.75 fewer are
-#: shared with a probability of 0.00001.
-SKETCH = 12
+COORDINATES, TREES, DEPTH, LEAF = 32, 10, 24, 200
+#: Tokens of COORDINATES that a pair must share to be confirmed on full sets, and to get one label before that.
+SKETCH, CLOSE = 10, 29
+#: A node of up to WIDE classes is a leaf too, if it has at most WORK pairs of different labels.
+WIDE, WORK = 20 * LEAF, 4 * LEAF * LEAF
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -92,16 +100,96 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(buf, offs)
             with np.errstate(over="ignore"):
                 f1 = [int(mix(np.add.reduce(mix(s ^ U(0xA5A5A5A5)), keepdims=True)).view(np.int64)[0]) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(f1, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["f1", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(f1, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "f1", "grams"])
 
 
-def _compare(ids: list[int], group: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span the components of a node; members of one group are linked already."""
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int, rest: Callable[[pa.RecordBatch], Iterator]) -> Iterator[tuple[list, bool]]:
+    """Rows of equal first `keys` columns together, from sorted batches; None between batches."""
+    now, rows = None, []
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(keys)]
+        for key, row in zip(zip(*cols, strict=True), rest(batch), strict=True):
+            if key != now:
+                if len(rows) > 1:
+                    yield rows
+                now, rows = key, []
+            rows.append(row)
+        yield None
+    if len(rows) > 1:
+        yield rows
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each node's smallest reachable node over the edges (a, b)."""
+    label = np.arange(n)
+    while a.size:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _near(rows: list[tuple], close: bool) -> Iterator[tuple]:
+    """From a node's rows (id, f1, label, tokens): groups of members that share tokens across labels, as rows (g, h, id,
+    f1, null), and links of close members, as rows (null, null, id, null, other id)."""
+    sig = np.array([r[3] for r in rows], np.int32)
+    _, label, count = np.unique(np.array([r[2] for r in rows], np.int64), return_inverse=True, return_counts=True)
+    own = np.flatnonzero(label != count.argmax()) if count.max() > 1 else np.arange(len(rows))
+    if not own.size:
+        return
+    same = np.zeros((own.size, len(rows)), np.int8)
+    for c in sig.T:
+        same += c[own][:, None] == c[None, :]
+    same[label[own][:, None] == label[None, :]] = 0
+    a, b = np.nonzero(same >= SKETCH)
+    group = _joined(len(rows), own[a], b)
+    if close:
+        a, b = np.nonzero(same >= CLOSE)
+        for i, k in enumerate(_joined(len(rows), own[a], b).tolist()):
+            if i != k:
+                yield None, None, rows[i][0], None, rows[k][0]
+    order = np.argsort(group, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        if part.size > 1:
+            members = sorted(rows[i][:2] for i in part)
+            name = np.frombuffer(hashlib.blake2b(np.array(members, np.int64).tobytes(), digest_size=16).digest(), np.int64).tolist()
+            for i, f in members:
+                yield *name, i, f, None
+
+
+def _screened(rows: DataFrame, sigs: DataFrame, close: bool) -> DataFrame:
+    """Candidate groups (and close links) of the nodes in rows (path, id, f1, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rest(batch: pa.RecordBatch) -> Iterator[tuple]:
+            tokens = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1)
+            return zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), tokens, strict=True)
+
+        out: list[tuple] = []
+        for node in _grouped(batches, 1, rest):
+            if node is not None:
+                out += _near(node, close)
+            if node is None or len(out) > 20_000:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
+
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], ["g", "h", "id", "f1", "other"])
+
+    with_sig = rows.join(sigs.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("f1") == F.col("_f"))).select("path", "id", "f1", "label", "sig")
+    return with_sig.repartition("path").sortWithinPartitions("path", "id", "f1").mapInArrow(run, "g bigint, h bigint, id bigint, f1 bigint, other bigint")
+
+
+def _compare(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that span the components of a candidate group."""
     order = sorted(range(len(ids)), key=lambda i: (sets[i].size, ids[i]))
-    ids, group, sets = [ids[i] for i in order], [group[i] for i in order], [sets[i] for i in order]
-    size = np.array([s.size for s in sets])
-    _, label = np.unique(np.array(group), return_inverse=True)
-    label = label.copy()
+    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
+    size, label = np.array([s.size for s in sets]), np.arange(len(sets))
     owner = np.repeat(np.arange(len(sets)), size)
     _, gram = np.unique(np.concatenate(sets), return_inverse=True)
     by_gram = np.argsort(gram, kind="stable")
@@ -126,84 +214,115 @@ def _compare(ids: list[int], group: list[int], sets: list[np.ndarray]) -> list[t
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each node, from rows (path, id, f1, label, grams) sorted by path."""
-    path, ids, seen, labels, sets = None, [], set(), [], []
+    """Confirmed links of each group, from rows (g, h, id, grams) sorted by group."""
 
-    def done() -> list[tuple[int, int]]:
-        return _compare(ids, labels, sets) if len(ids) > 1 else []
+    def rest(batch: pa.RecordBatch) -> Iterator[tuple]:
+        return zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
 
-    for batch in batches:
-        out = []
-        cols = [batch.column(i).to_pylist() for i in range(4)]
-        grams = batch.column(4)
-        for k, (p, i, f, lab) in enumerate(zip(*cols, strict=True)):
-            if p != path:
-                out += done()
-                path, ids, seen, labels, sets = p, [], set(), [], []
-            if f not in seen:
-                seen.add(f)
-                ids.append(i)
-                labels.append(lab)
-                sets.append(np.frombuffer(grams[k].as_py(), U))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-    out = done()
+    out: list[tuple[int, int]] = []
+    for group in _grouped(batches, 2, rest):
+        if group is not None:
+            out += _compare([r[0] for r in group], [np.frombuffer(r[1], U) for r in group])
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            out = []
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _children(path, sig):
-    """The paths a class takes from a node: coordinates are picked by a hash of the node's path."""
+def _confirmed(screened: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that span the components of each candidate group, on full sets."""
+    members = screened.where("g is not null").select("g", "h", F.col("id").alias("_id"), F.col("f1").alias("_f")).distinct()
+    rows = members.join(sets.hint("merge"), (F.col("_id") == F.col("id")) & (F.col("_f") == F.col("f1"))).select("g", "h", "id", "grams")
+    return rows.repartition("g", "h").sortWithinPartitions("g", "h", "id").mapInArrow(_verify, "a bigint, b bigint")
+
+
+def _branches(path: Column, sig: Column) -> Column:
+    """The paths a class takes from a node: one coordinate, or two in one node of three, by a hash of the node's path."""
     one = F.pmod(F.xxhash64(path, F.lit(1)), F.lit(COORDINATES)).cast("int")
-    out = [F.xxhash64(path, one, F.get(sig, one))]
-    for b in range(1, BRANCHES):
-        other = F.pmod(one + 1 + F.pmod(F.xxhash64(path, F.lit(b + 1)), F.lit(COORDINATES - 1)), F.lit(COORDINATES)).cast("int")
-        out.append(F.xxhash64(path, other, F.get(sig, other)))
-    return out
+    other = F.pmod(one + 1 + F.pmod(F.xxhash64(path, F.lit(2)), F.lit(COORDINATES - 1)), F.lit(COORDINATES)).cast("int")
+    first, second = (F.xxhash64(path, at, F.get(sig, at)) for at in (one, other))
+    return F.when(F.pmod(F.xxhash64(path, F.lit(3)), F.lit(3)) == 0, F.array(first, second)).otherwise(F.array(first))
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
-    """Nodes of two classes or more: path, size, the parent's size and a digest of the members in two 64-bit words.
+def _roots(classes: DataFrame) -> DataFrame:
+    paths = F.flatten(F.array(*[_branches(F.lit(t).cast("long"), F.col("sig")) for t in range(TREES)]))
+    return classes.select("id", "f1", F.explode(paths).alias("path"))
 
-    A node that shares its digest with another one is not compared, so 128 bits keep 10**9 nodes and more apart.
-    Exclusive or does not overflow in large nodes.
-    """
-    digest, second = F.bit_xor(F.xxhash64("f1")), F.bit_xor(F.xxhash64(F.lit(1), "f1"))
-    return rows.groupBy("path").agg(F.count("*").alias("size"), F.max("parent").alias("parent"), digest.alias("digest"), second.alias("second")).where("size > 1")
 
+def _weighed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """members (path, id, f1, size) with their labels, and each node's number of pairs of different labels, if any."""
+    if labels is None:
+        return members.withColumn("label", F.col("id")).withColumn("work", F.col("size") * (F.col("size") - 1) / 2)
+    found = members.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
+    found = staged(found, "labelled")
+    counts = found.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy(F.col("path").alias("_p")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n").cast("double")).alias("squares"))
+    work = counts.select("_p", ((F.col("n") * F.col("n").cast("double") - F.col("squares")) / 2).alias("work")).where("work > 0")
+    return found.join(work.hint("merge"), F.col("path") == F.col("_p")).drop("_p")
 
-def _near_in_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (path, id, f1, sig) sorted by path: members that share enough tokens with another one of the node."""
-    path, rows = None, []
 
-    def done() -> list[tuple]:
-        sig = np.array([r[3] for r in rows], np.int32)
-        same = np.zeros((len(rows), len(rows)), np.int16)
-        for c in sig.T:
-            same += c[:, None] == c[None, :]
-        np.fill_diagonal(same, 0)
-        return [r[:3] for r, ok in zip(rows, (same >= SKETCH).any(axis=1), strict=True) if ok]
+def _tiles(large: DataFrame) -> DataFrame:
+    """The rows of large nodes in tiles of about LEAF classes, each with the node's smallest class as well."""
+    reps = large.groupBy(F.col("path").alias("_p")).agg(F.min(F.struct("id", "f1")).alias("rep"), F.ceil(F.count("*") / LEAF).cast("int").alias("tiles"))
+    rows = large.join(reps.hint("merge"), F.col("path") == F.col("_p"))
+    name = lambda tile: F.xxhash64("rep.id", "rep.f1", "tiles", tile).alias("path")
+    own = rows.select(name(F.pmod(F.xxhash64("id", "f1", "rep.id"), F.col("tiles")).cast("int")), "id", "f1", "label")
+    again = reps.select("rep", "tiles").distinct().select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
+    return own.union(again.select(name(F.col("t")), "rep.id", "rep.f1", F.col("rep.id").alias("label"))).distinct()
 
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["path", "id", "f1"])
 
-    for batch in batches:
-        out: list[tuple] = []
-        sigs = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)
-        for row in zip(*(batch.column(i).to_pylist() for i in range(3)), sigs, strict=True):
-            if row[0] != path:
-                out += done() if len(rows) > 1 else []
-                path, rows = row[0], []
-            rows.append(row)
-        yield batch_of(out)
-    yield batch_of(done() if len(rows) > 1 else [])
+def _tile_pairs(large: DataFrame) -> DataFrame:
+    """The rows of large nodes in all pairs of their tiles: the exact way for nodes that branching does not part."""
+    rows = large.withColumn("tiles", F.ceil(F.col("size") / LEAF).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id", "f1"), F.col("tiles")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
+    return rows.select(F.xxhash64("path", F.least("tile", "t"), F.greatest("tile", "t")).alias("path"), "id", "f1", "label")
+
 
+def _once(leaves: DataFrame) -> DataFrame:
+    """Of leaves with the same members only one; two 64-bit digests tell members apart."""
+    digest = [F.bit_xor(F.xxhash64(F.lit(k), "id", "f1")).alias(f"d{k}") for k in (0, 1)]
+    nodes = leaves.groupBy("path").agg(F.count("*").alias("n"), *digest).groupBy("n", "d0", "d1").agg(F.min("path").alias("_p"))
+    return leaves.join(nodes.select("_p").hint("merge"), F.col("path") == F.col("_p")).drop("_p")
 
-def _confirmed(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) among members (path, id, f1, label) of each path, on full sets."""
-    ids = members.select(F.col("id").alias("_id")).distinct()
-    texts = docs.join(ids, F.col("id") == F.col("_id"), "left_semi")
-    sets = texts.mapInArrow(_full_sets, "f1 bigint, grams binary").withColumnRenamed("f1", "_f1")
-    rows = members.join(sets, F.col("f1") == F.col("_f1")).select("path", "id", "f1", "label", "grams")
-    return rows.repartition("path").sortWithinPartitions("path", "id").mapInArrow(_verify, "a bigint, b bigint")
+
+def _descend(rows: DataFrame, sigs: DataFrame, labels: DataFrame | None, link: Callable[[DataFrame], DataFrame]) -> tuple[list[DataFrame], DataFrame | None]:
+    """Candidate groups of all levels, and labels after the last; link() makes a level's links from its tiles."""
+    found, leaves, links = [], [], None if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for depth in range(1, DEPTH + 1):
+        sizes = rows.groupBy(F.col("path").alias("_p")).agg(F.count("*").alias("size")).where("size > 1")
+        members = staged(rows.join(sizes.hint("merge"), F.col("path") == F.col("_p")).drop("_p"), "members")
+        members = _weighed(members, labels)
+        if labels is not None:
+            members = staged(members, "weighed")
+        small = (F.col("size") <= LEAF) | ((F.col("work") <= WORK) & (F.col("size") <= WIDE) if labels is not None else F.lit(False))
+        leaves.append(members.where(small).select("path", "id", "f1", "label"))
+        large = members.where(~small)
+        if large.isEmpty():
+            break
+        if depth == DEPTH:
+            leaves.append(_tile_pairs(large))
+            break
+        tiles = staged(_screened(_tiles(large), sigs, True), "tiles")
+        found.append(tiles)
+        more = link(tiles)
+        links = staged(more if links is None else links.union(more), "close")
+        labels = components(links)
+        large = staged(_weighed(large.drop("label", "work"), labels), "weighed")
+        small = (F.col("work") <= WORK) & (F.col("size") <= WIDE)
+        leaves.append(large.where(small).select("path", "id", "f1", "label"))
+        again = large.where(~small).join(sigs.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("f1") == F.col("_f")))
+        rows = staged(again.select("id", "f1", F.explode(_branches(F.col("path"), F.col("sig"))).alias("path")), "paths")
+    every = leaves[0]
+    for more in leaves[1:]:
+        every = every.union(more)
+    found.append(staged(_screened(_once(every), sigs, False), "leaves"))
+    return found, labels
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,56 +332,28 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     full = sketches.where("n > 0 and id is not null")
     classes = staged(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
     same_id = classes.groupBy("id").count().where("count > 1").isEmpty()
-
-    roots = F.array(*[c for t in range(TREES) for c in _children(F.lit(t).cast("long"), F.col("sig"))])
-    rows = staged(classes.select("f1", "id", F.explode(roots).alias("path"), F.lit(None).cast("long").alias("parent")), "paths")
-    sigs = classes.select(F.col("f1").alias("_f"), "sig")
-    leaves, hot = [], []
-    for depth in range(1, DEPTH + 1):
-        nodes = staged(_nodes(rows), "tree-nodes")
-        leaves.append((nodes.where(F.col("size") <= LEAF), rows))
-        dense = F.lit(True) if depth == DEPTH else F.coalesce(F.col("size") >= DENSE * F.col("parent"), F.lit(False))
-        large = nodes.where(F.col("size") > LEAF).select(F.col("path").alias("_p"), "size", dense.alias("dense"))
-        if large.isEmpty():
-            break
-        again = staged(rows.drop("parent").join(large, F.col("path") == F.col("_p")).drop("_p"), "large")
-        hot.append(again.where("dense").drop("dense"))
-        again = again.where("not dense").join(sigs, F.col("f1") == F.col("_f"))
-        rows = staged(again.select("f1", "id", F.explode(F.array(*_children(F.col("path"), F.col("sig")))).alias("path"), F.col("size").alias("parent")), "paths")
-    once, members = None, None
-    for small, _ in leaves:
-        once = small if once is None else once.union(small)
-    once = staged(once.groupBy("size", "digest", "second").agg(F.min("path").alias("_p")).select("_p"), "leaves")
-    for _, level in leaves:
-        part = level.join(once, F.col("path") == F.col("_p")).select("path", "id", "f1")
-        members = part if members is None else members.union(part)
-    with_sig = members.join(sigs, F.col("f1") == F.col("_f")).select("path", "id", "f1", "sig")
-    members = with_sig.repartition("path").sortWithinPartitions("path", "id").mapInArrow(_near_in_sketch, "path bigint, id bigint, f1 bigint")
-    members = members.withColumn("label", F.xxhash64("f1"))
-    tiled = None
-    for part in hot:
-        tiled = part if tiled is None else tiled.union(part)
-    if tiled is not None and not tiled.isEmpty():
-        tiles = F.ceil(F.col("size") / LEAF).cast("int")
-        tiled = staged(tiled.withColumn("tiles", tiles).select("path", "id", "f1", F.pmod(F.xxhash64("path", "f1"), F.col("tiles")).cast("int").alias("tile"), "tiles"), "hot")
-        members = members.union(tiled.select(F.xxhash64("path", "tile").alias("path"), "id", "f1", F.xxhash64("f1").alias("label")))
-    else:
-        tiled = None
-    links = staged(_confirmed(staged(members, "members"), docs), "pairs")
+    sigs = classes.select(F.col("id").alias("_id"), F.col("f1").alias("_f"), "sig")
+
+    screened, close = _descend(_roots(classes), sigs, None, lambda t: t.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    ids = _all(screened).where("g is not null").select(F.col("id").alias("_id")).distinct()
+    texts = docs.join(ids.hint("merge"), F.col("id") == F.col("_id"), "left_semi")
+    sets = texts.mapInArrow(_full_sets, "id bigint, f1 bigint, grams binary")
+    sets = staged(sets.groupBy("id", "f1").agg(F.first("grams").alias("grams")), "sets")
+    links = staged(_confirmed(_all(screened), sets), "pairs")
     labels = components(links)
-    if tiled is not None:
-        joined = staged(tiled.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component"), "hot-labels")
-        counts = joined.groupBy("path", "label").agg(F.count("*").alias("n"))
-        largest = counts.groupBy(F.col("path").alias("_p")).agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        rest = staged(joined.join(largest, F.col("path") == F.col("_p")).drop("_p"), "rest")
-        if not rest.isEmpty():
-            own = rest.select(F.xxhash64("path", "tile").alias("path"), "id", "f1", "label")
-            to = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("to")
-            minor = rest.where("label <> most").select("*", to).where("to <> tile").select(F.xxhash64("path", "to").alias("path"), "id", "f1", "label")
-            more = staged(_confirmed(staged(own.union(minor), "members"), docs), "pairs")
-            labels = components(links.union(more))
-    of_class = staged(classes.join(labels, F.col("id") == F.col("node"), "left").select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.coalesce("component", "id").alias("component")), "components")
-    out = sketches.select("id", "n", "f1", "f2").join(of_class, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")), "left")
+    if close is not None:
+        told = close.join(labels.select(F.col("node").alias("_n"), F.col("component").alias("_c")).hint("merge"), F.col("node") == F.col("_n"), "left").withColumn("_c", F.coalesce("_c", "node"))
+        broken = told.groupBy(F.col("component").alias("_l")).agg(F.min("_c").alias("low"), F.max("_c").alias("high")).where("low <> high").select("_l")
+        ids = staged(close.join(broken.hint("merge"), F.col("component") == F.col("_l"), "left_semi").select(F.col("node").alias("_n")), "broken")
+        if not ids.isEmpty():
+            again = classes.join(ids.hint("merge"), F.col("id") == F.col("_n"), "left_semi")
+            screened, labels = _descend(_roots(again), sigs, labels, lambda t: _confirmed(t, sets))
+            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            links = staged(_confirmed(_all(screened), sets).union(known), "pairs")
+            labels = components(links)
+    of_class = staged(classes.join(labels, F.col("id") == F.col("node"), "left").select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.col("n").alias("_s"), F.coalesce("component", "id").alias("component")), "components")
+    release(classes, sets, *screened)
+    out = sketches.select("id", "n", "f1", "f2").join(of_class, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & (F.col("n") == F.col("_s")), "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     if not same_id:
         lowest = out.groupBy(F.col("id").alias("_id")).agg(F.min("component_id").alias("_c"))
