@@ -16,7 +16,7 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 SAME = np.arange(256, dtype=np.uint8)
-_STEP = 1 << 22
+_STEP = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
