@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding through a minimal acyclic transducer lexicon.
 
-Spark counts words over the whole corpus; the LEXICON_WORDS most frequent ones (a bound, not a cap: all other
-words are merged exactly) are compiled into a minimal acyclic automaton. States with equal right languages are
+Spark counts words over the whole corpus; the most frequent ones, LEXICON_WORDS at most (a bound, not a cap: all
+other words are merged exactly), are compiled into a minimal acyclic automaton. States with equal right languages are
 shared, every edge carries the number of words that sort before it, so a walk yields the word's rank, and the rank
 points at its ids. The automaton is one flat file of a few MB that Spark hands to every executor (addFile, so a
 new executor fetches it again), where workers memory-map it. Words that it lacks are merged by rank, with a heap
@@ -9,7 +9,8 @@ for long ones. Each worker keeps a bounded memo of the words it has met.
 
 Null is an empty text: no ids, and the empty text decoded. Strings of special tokens in a text become their
 special ids. Repeated rows are encoded each by itself, an empty table gives an empty result, extra columns are
-carried along and columns named like a result are replaced. Texts are encoded whole, whatever their length.
+carried along and columns named like a result are replaced. Texts are encoded whole, whatever their length; results
+leave a worker ROWS texts at a time. Of equally frequent words all or none go into the lexicon: ties need no order.
 """
 
 from __future__ import annotations
@@ -34,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import appended, table, without
+from ._shared import appended, release, staged, table, without
 
 LEXICON_WORDS = 32_768
 #: Words a worker remembers before it starts anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
+#: Texts that are encoded and handed on at a time.
+ROWS = 256
 NEW = ["n_tokens", "token_ids", "decoded"]
 
 
@@ -396,10 +399,23 @@ class _Load:
 
 
 def frequent_words(df: DataFrame, text: str = "text", n: int = LEXICON_WORDS) -> list[str]:
-    """The n most frequent words of letters over all texts, counted in Spark (ties by the word)."""
+    """The most frequent words of letters over all texts, at most n, counted in Spark.
+
+    A small table of how many words occur how often gives the least count at which n words or fewer are left; only
+    these words come to the driver.
+    """
     words = df.select(F.explode(F.split(F.col(f"`{text}`"), " ")).alias("w")).groupBy("w").count()
-    rows = words.where(F.col("w").rlike(r"^\p{L}+$") & (F.length("w") <= 64)).orderBy(F.desc("count"), "w").limit(n).collect()
-    return [r[0] for r in rows]
+    counts = staged(words.where(F.col("w").rlike(r"^\p{L}+$") & (F.length("w") <= 64) & (F.col("count") > 1)), "words")
+    step = F.floor(F.log2("count") * 64).cast("int")  # 64 steps for each doubling: a few thousand rows at most
+    least, left = None, n
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        left -= row["words"]
+        if left < 0:
+            break
+        least = row["step"]
+    found = [] if least is None else [r[0] for r in counts.where(step >= least).select("w").collect()]
+    release(counts)
+    return found
 
 
 def lexicon_file(spark: SparkSession, words: list[str], vocabulary: Vocabulary) -> str:
@@ -425,7 +441,6 @@ def code(df: DataFrame, finish, fields: list[T.StructField], text: str = "text",
     load = _Load(spark.sparkContext.broadcast(spec), digest)
     names = [x.name for x in fields]
     kept = without(df, names)
-    source = df if len(kept.columns) == len(df.columns) else df
     schema = T.StructType([*kept.schema.fields, *fields])
     arrow = [T.StructType([x]) for x in fields]
 
@@ -435,15 +450,15 @@ def code(df: DataFrame, finish, fields: list[T.StructField], text: str = "text",
         kinds = [to_arrow_type(a.fields[0].dataType) for a in arrow]
         coder = _coder(SparkFiles.get(name), name + digest, load)
         for batch in batches:
-            column, out = batch.column(batch.schema.get_field_index(text)), []
-            for a in range(0, len(column), 256):
-                for runs in coder.encode_many([x or "" for x in column.slice(a, 256).to_pylist()]):
-                    out.append(finish(runs, coder.decode(runs)))
-            cols = list(zip(*out, strict=True)) if out else [()] * len(names)
-            yield appended(batch, {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
+            for a in range(0, max(1, batch.num_rows), ROWS):
+                part = batch.slice(a, ROWS)
+                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                out = [finish(runs, coder.decode(runs)) for runs in coder.encode_many([x or "" for x in texts])]
+                cols = list(zip(*out, strict=True)) if out else [()] * len(names)
+                yield appended(part, {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
         coder.forget()
 
-    return source.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def numbers(runs: list[str]) -> np.ndarray:
