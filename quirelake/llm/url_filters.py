@@ -3,11 +3,12 @@
 Rules decide what they cover: a rule (host, path) fits its host and all subdomains if the url's path starts with
 the rule's; the longest fitting rule wins. Everything else gets the verdict of a logistic regression on hashed
 character n-grams of host and path. It is trained in numpy, on the driver, from a small labelled URL table (a
-parameter, SEEDS by default); the model is 2**buckets_log2 floats and rides along with the task closure. No row
+parameter, SEEDS by default: real and made-up sites of the kinds to keep and to block); the model is 2**buckets_log2 floats and rides along with the task closure. No row
 is shuffled: hot hosts cost nothing.
 
 Null urls, and urls without `://`, have an empty host and an empty path and no rule, score 0 and are allowed:
-there is nothing to judge. An empty table gives an empty result; repeated rows get equal verdicts; extra columns
+there is nothing to judge. Of rules of equal length, which can't both fit one url but by repetition, the last in their
+order wins. Urls are read whole, whatever their length. An empty table gives an empty result; repeated rows get equal verdicts; extra columns
 are carried along and columns named like a result are replaced.
 """
 
@@ -34,32 +35,41 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-#: Words that blocked and clean hosts and paths are made of.
-BAD = """casino bonus poker jackpot betting xxx porn adult cams sexy escort viagra pills replica torrent warez crack keygen
-malware phishing payday loans lottery winner popunder spam ads track cheap free bets farm win""".split()
-GOOD = """wiki docs news blog library museum school university weather recipes forum journal archive maps travel history
-science theatre council shop help jobs poetry music stories garden""".split()
-
-
-def seeds() -> list[tuple[str, bool]]:
-    """A small labelled URL table, (url without scheme, whether to block it), made by one rule for both kinds: words in
-    the host and in the path, with the same subdomains, endings, language folders and numbers."""
-    out, ends, folders, subs = [], ("com", "net", "org"), ("en", "de", "fr", "es"), ("www.", "", "m.", "blog.")
-    for words, blocked in ((GOOD, False), (BAD, True)):
-        n = len(words)
-        for i in range((10 if blocked else 4) * n):
-            a, b, c = words[i % n], words[(7 * i + 3) % n], words[(11 * i + 5) % n]
-            host = f"{subs[i % 4]}{a}-{b}.example.{ends[i % 3]}" if i % 2 else f"{subs[i % 4]}{a}{i % 10}.example.{ends[i % 3]}"
-            path = (f"/{folders[(i // 2) % 4]}/{c}/{37 * i % 1000}", f"/{folders[i % 4]}/{37 * i % 1000}.html", f"/{c}/{b}")[i % 3]
-            out.append((host + path, blocked))
-    rng = np.random.default_rng(5)  # clean hosts of no known word: what the table doesn't know is no reason to block
-    for i in range(200):
-        word = "".join(rng.choice(list("aeiorstnhldcmu"), int(rng.integers(4, 10))))
-        out.append((f"{subs[i % 4]}{word}.example.{ends[i % 3]}/{folders[(i // 2) % 4]}/{37 * i % 1000}{('', '/', '.html')[i % 3]}", False))
-    return out
-
-
-SEEDS = seeds()
+#: A small labelled URL table: one url a word, without its scheme, of public sites and of made-up ones of their kinds.
+CLEAN = """
+wikipedia.org/wiki/Main_Page en.wikipedia.org/wiki/History_of_Rome github.com/python/cpython docs.python.org/3/library/os.html stackoverflow.com/questions/11227809
+bbc.co.uk/news/world-europe nytimes.com/2023/05/01/science/space.html theguardian.com/books/reviews lemonde.fr/economie/article/2022 spiegel.de/wissenschaft/mensch
+elpais.com/cultura/2021-03-02 nature.com/articles/s41586 arxiv.org/abs/1706.03762 mit.edu/courses/physics stanford.edu/class/notes ox.ac.uk/admissions/graduate
+harvard.edu/library/catalog nasa.gov/missions/mars who.int/health-topics/malaria cdc.gov/vaccines/schedules nih.gov/research/grants europa.eu/policies/energy
+gov.uk/guidance/driving-licence loc.gov/collections/maps britishmuseum.org/collection/search louvre.fr/en/explore metmuseum.org/art/collection gutenberg.org/ebooks/1342
+archive.org/details/texts openlibrary.org/authors/books goodreads.com/book/show imdb.com/title/cast allrecipes.com/recipe/lemon-cake seriouseats.com/how-to-roast
+nationalgeographic.com/animals/birds weather.com/forecast/today openstreetmap.org/way/map tripadvisor.com/restaurants lonelyplanet.com/italy/rome rei.com/learn/expert-advice
+etsy.com/shop/handmade ikea.com/gb/en/cat/chairs ebay.com/itm/camera linkedin.com/in/profile medium.com/engineering/design dev.to/posts/testing mozilla.org/en-US/firefox
+debian.org/doc/manuals kernel.org/doc/html postgresql.org/docs/current apache.org/licenses spark.apache.org/docs/latest numpy.org/doc/stable pytorch.org/tutorials
+rust-lang.org/learn golang.org/doc/effective w3.org/TR/html ietf.org/rfc/rfc2616 unicode.org/charts coursera.org/learn/statistics khanacademy.org/math/algebra
+ted.com/talks/education npr.org/sections/music classicfm.com/composers/bach poetryfoundation.org/poems rspb.org.uk/birds-and-wildlife kew.org/plants/garden
+berlin.de/museum/programm zeit.de/kultur/literatur dradio.de/sendung/forschung radiofrance.fr/emissions univ-paris.fr/bibliotheque cnrs.fr/recherche uam.es/facultad/ciencias
+rtve.es/noticias/tiempo museodelprado.es/coleccion biblioteca-nacional.es/catalogo dmi.dk/vejr dr.dk/nyheder/indland yr.no/sted/norge villagebakery.net/menu
+riverside-school.org/term-dates town-library.org/opening-hours hilltop-farm.co.uk/visit greenhouse-blog.net/tomatoes oldmaps.info/county/survey smallchoir.org/concerts
+family-letters.net/archive/1911 chess-club.org/results steamrailway.org/timetable stamp-collector.net/forum/topic astronomy-notes.org/planets knitting-circle.com/patterns
+"""
+BLOCKED = """
+bet365.com/sports pokerstars.com/casino 888casino.com/slots williamhill.com/betting betway.com/bonus unibet.com/live-betting partypoker.com/freeroll
+casino-royal-bonus.org/free-spins luckyslots777.com/jackpot megawin-casino.org/register best-online-casinos.info/no-deposit sportsbetting-tips.biz/odds lotto-winner-claim.com/prize
+free-bet-offers.net/signup roulette-strategy-win.com/system pornhub.com/view_video xvideos.com/tags xnxx.com/search redtube.com/hot youporn.com/watch
+adult-friend-dating.com/hot-girls sexcams-live.com/webcam free-xxx-movies.org/milf nude-teens-pics.biz/gallery escort-service-vip.com/girls hotsex-chat.com/join
+sexy-singles-nearby.com/meet adultvideo-club.com/hd erotic-stories-xxx.org/read hentai-tube.org/uncensored cheap-viagra-pills.com/order buy-cialis-online.net/no-prescription
+pills-discount-pharmacy.biz/cheap generic-viagra-store.com/buy weight-loss-pills-now.com/trial cheap-meds-overnight.com/xanax steroids-for-sale.biz/cart
+male-enhancement-pills.com/free-trial thepiratebay.org/search/movie torrentz2.eu/download 1337x.to/torrent rarbg.to/torrents warez-bb.org/forum crackedsoftware.org/keygen
+serial-keys-free.com/crack full-movie-download-torrent.net/hd free-games-cracked.org/setup.exe nulled-scripts.biz/download mp3-free-downloads.ru/track
+replica-watches-sale.com/rolex fake-designer-bags.com/cheap luxury-replica-outlet.biz/gucci payday-loans-fast.com/apply instant-cash-loan.com/bad-credit
+make-money-fast-online.biz/join bitcoin-doubler-win.com/invest forex-profit-robot.org/signals crypto-giveaway-bonus.org/claim get-rich-quick-system.com/vsl
+free-iphone-winner.net/claim you-won-prize-click.com/survey clickbank-promo-ads.biz/track doubleclick.com/adclick ads-popunder-network.com/click popads-traffic.com/serve
+adserver-tracker.com/banner track-clicks-affiliate.org/redirect spam-mailer-bulk.com/lists bulk-email-blaster.net/spam link-farm-backlinks.com/seo cheap-backlinks-spam.com/buy
+phishing-login-verify.ru/account secure-paypal-verify-login.com/update bank-account-suspended-alert.com/confirm malware-driver-update.com/setup.exe free-antivirus-scan-now.biz/alert
+flashplayer-update-download.org/install ransomware-decrypt-tool.biz/pay botnet-stresser.net/attack hot-deals-cheap-pills.ru/viagra win-free-cash-casino.ru/bonus
+"""
+SEEDS = [(u, blocked) for block, blocked in ((CLEAN, False), (BLOCKED, True)) for u in block.split()]
 
 NEW = ["host", "path", "rule", "rule_verdict", "score", "verdict"]
 
@@ -103,7 +113,7 @@ def grams(parts: list[tuple[str, str]], log2: int, sizes: tuple[int, ...] = (3,
 @dataclass(frozen=True)
 class UrlModel:
     weights: np.ndarray
-    rarity: np.ndarray  # of each bucket in the labelled table; 0 where it has none
+    rarity: np.ndarray  # of each bucket in the labelled table; what it has none of is rarest, and says nothing
     bias: float
     log2: int
 
@@ -127,7 +137,7 @@ def fit(labelled: list[tuple[str, bool]] = SEEDS, log2: int = 16, epochs: int =
     feats = [np.unique(grams([split_url(u)], log2)[0], return_counts=True) for u, _ in labelled]
     y = np.array([b for _, b in labelled], float)
     seen = np.bincount(np.concatenate([b for b, _ in feats]), minlength=1 << log2)
-    rarity = np.where(seen > 0, np.log((len(labelled) + 1) / (seen + 0.5)), 0.0)
+    rarity = np.log((len(labelled) + 1) / (seen + 0.5))
     for epoch in range(epochs):
         for i in rng.permutation(len(labelled)):
             b, c = feats[i]
@@ -161,4 +171,5 @@ def apply_filters(df: DataFrame, url: str = "url", rules: list[tuple[str, str, s
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
     return apply_filters(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
