@@ -1,10 +1,11 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document's set is its distinct 5-word shingles. Equal sets become one class first, so copies cost nothing. Each
-class has COORDINATES minwise tokens. In each of TREES independent trees a node (a set of classes) picks one
-coordinate, or with a chance of 1 in 3 two, by a hash of its path, and a class follows the branch named by its
-token there: a pair of similarity 0.75 shares one branch a level on average, so rows don't multiply with depth and
-the trees together meet a pair of a small node with probability 1 - 0.19**TREES.
+class has COORDINATES minwise tokens. In each of TREES independent trees the root picks one coordinate, and a node below (a set of classes)
+one pair of them, or with a chance of 7 in 9 two pairs, by a hash of its path; a class follows the branches named by
+its tokens there. A pair of similarity 0.75 shares one branch a level on average, so rows don't multiply with depth.
+The trees together meet a pair in a node of the first level with probability 1 - 0.25**TREES, in one of the second with
+1 - 0.44**TREES and in one of the third with 1 - 0.54**TREES at least.
 
 1. Nodes of at most LEAF classes are leaves. All pairs of a leaf are compared on their minwise tokens, and what
    shares SKETCH tokens or more is a candidate. Leaves with the same members are compared once.
@@ -48,6 +49,8 @@ COORDINATES, TREES, DEPTH, LEAF = 32, 10, 24, 200
 SKETCH, CLOSE = 10, 29
 #: A node of up to WIDE classes is a leaf too, if it has at most WORK pairs of different labels.
 WIDE, WORK = 20 * LEAF, 4 * LEAF * LEAF
+#: Large nodes are labelled anew when there is a new link for so many of their rows.
+PRUNE = 50
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -237,27 +240,33 @@ def _confirmed(screened: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _branches(path: Column, sig: Column) -> Column:
-    """The paths a class takes from a node: one coordinate, or two in one node of three, by a hash of the node's path."""
-    one = F.pmod(F.xxhash64(path, F.lit(1)), F.lit(COORDINATES)).cast("int")
-    other = F.pmod(one + 1 + F.pmod(F.xxhash64(path, F.lit(2)), F.lit(COORDINATES - 1)), F.lit(COORDINATES)).cast("int")
-    first, second = (F.xxhash64(path, at, F.get(sig, at)) for at in (one, other))
-    return F.when(F.pmod(F.xxhash64(path, F.lit(3)), F.lit(3)) == 0, F.array(first, second)).otherwise(F.array(first))
+    """The paths a class takes from a node: one pair of coordinates, or two in seven nodes of nine, by a hash of the path."""
+    pick = lambda k, n: F.pmod(F.xxhash64(path, F.lit(k)), F.lit(n))
+    one = pick(1, COORDINATES)
+    at = [F.pmod(one + x, F.lit(COORDINATES)).cast("int") for x in (F.lit(0), 1 + pick(2, 10), 11 + pick(3, 10), 21 + pick(4, COORDINATES - 21))]
+    first, second = (F.xxhash64(path, a, F.get(sig, a), b, F.get(sig, b)) for a, b in (at[:2], at[2:]))
+    return F.when(pick(5, 9) < 7, F.array(first, second)).otherwise(F.array(first))
 
 
 def _roots(classes: DataFrame) -> DataFrame:
-    paths = F.flatten(F.array(*[_branches(F.lit(t).cast("long"), F.col("sig")) for t in range(TREES)]))
+    coordinate = lambda t: F.pmod(F.xxhash64(F.lit(t).cast("long"), F.lit(1)), F.lit(COORDINATES)).cast("int")
+    paths = F.array(*[F.xxhash64(F.lit(t).cast("long"), coordinate(t), F.get(F.col("sig"), coordinate(t))) for t in range(TREES)])
     return classes.select("id", "f1", F.explode(paths).alias("path"))
 
 
-def _weighed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """members (path, id, f1, size) with their labels, and each node's number of pairs of different labels, if any."""
-    if labels is None:
-        return members.withColumn("label", F.col("id")).withColumn("work", F.col("size") * (F.col("size") - 1) / 2)
-    found = members.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
-    found = staged(found, "labelled")
-    counts = found.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy(F.col("path").alias("_p")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n").cast("double")).alias("squares"))
-    work = counts.select("_p", ((F.col("n") * F.col("n").cast("double") - F.col("squares")) / 2).alias("work")).where("work > 0")
-    return found.join(work.hint("merge"), F.col("path") == F.col("_p")).drop("_p")
+def _nodes(rows: DataFrame, labelled: bool) -> DataFrame:
+    """rows (path, id, f1, label) of nodes with pairs of different labels, with the node's size and number of such pairs."""
+    if labelled:
+        counts = rows.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy(F.col("path").alias("_p"))
+        sizes = counts.agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n").cast("double")).alias("squares"))
+        sizes = sizes.select("_p", "size", ((F.col("size") * F.col("size").cast("double") - F.col("squares")) / 2).alias("work"))
+    else:
+        sizes = rows.groupBy(F.col("path").alias("_p")).agg(F.count("*").alias("size")).withColumn("work", F.col("size") * (F.col("size") - 1.0) / 2)
+    return rows.join(sizes.where("work > 0").hint("merge"), F.col("path") == F.col("_p")).drop("_p")
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "label")).drop("node", "component")
 
 
 def _tiles(large: DataFrame) -> DataFrame:
@@ -287,34 +296,31 @@ def _once(leaves: DataFrame) -> DataFrame:
 def _descend(rows: DataFrame, sigs: DataFrame, labels: DataFrame | None, link: Callable[[DataFrame], DataFrame]) -> tuple[list[DataFrame], DataFrame | None]:
     """Candidate groups of all levels, and labels after the last; link() makes a level's links from its tiles."""
     found, leaves, links = [], [], None if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    rows, fresh = rows.withColumn("label", F.col("id")), []
+    if labels is not None:
+        rows = staged(_relabelled(rows, labels), "paths")
+    known, small = ["path", "id", "f1", "label"], (F.col("size") <= LEAF) | ((F.col("work") <= WORK) & (F.col("size") <= WIDE))
     for depth in range(1, DEPTH + 1):
-        sizes = rows.groupBy(F.col("path").alias("_p")).agg(F.count("*").alias("size")).where("size > 1")
-        members = staged(rows.join(sizes.hint("merge"), F.col("path") == F.col("_p")).drop("_p"), "members")
-        members = _weighed(members, labels)
-        if labels is not None:
-            members = staged(members, "weighed")
-        small = (F.col("size") <= LEAF) | ((F.col("work") <= WORK) & (F.col("size") <= WIDE) if labels is not None else F.lit(False))
-        leaves.append(members.where(small).select("path", "id", "f1", "label"))
+        members = staged(_nodes(rows, labels is not None), "members")
+        leaves.append(members.where(small).select(known))
         large = members.where(~small)
         if large.isEmpty():
             break
         if depth == DEPTH:
             leaves.append(_tile_pairs(large))
             break
-        tiles = staged(_screened(_tiles(large), sigs, True), "tiles")
-        found.append(tiles)
-        more = link(tiles)
-        links = staged(more if links is None else links.union(more), "close")
-        labels = components(links)
-        large = staged(_weighed(large.drop("label", "work"), labels), "weighed")
-        small = (F.col("work") <= WORK) & (F.col("size") <= WIDE)
-        leaves.append(large.where(small).select("path", "id", "f1", "label"))
+        if depth & (depth - 1) == 0:  # at levels 1, 2, 4, 8 and so on: a cluster that hides among others is met in a later one
+            tiles = staged(_screened(_tiles(large), sigs, True), "tiles")
+            found.append(tiles)
+            fresh.append(staged(link(tiles), "close"))
+            if PRUNE * _all(fresh).count() >= large.count():  # fewer links would not spare what it costs to label
+                links = staged(_all(fresh if links is None else [links, *fresh]), "close")
+                labels, fresh = components(links), []
+                large = staged(_nodes(staged(_relabelled(large.select(known), labels), "labelled"), True), "members")
+                leaves.append(large.where(small).select(known))
         again = large.where(~small).join(sigs.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("f1") == F.col("_f")))
-        rows = staged(again.select("id", "f1", F.explode(_branches(F.col("path"), F.col("sig"))).alias("path")), "paths")
-    every = leaves[0]
-    for more in leaves[1:]:
-        every = every.union(more)
-    found.append(staged(_screened(_once(every), sigs, False), "leaves"))
+        rows = staged(again.select("id", "f1", "label", F.explode(_branches(F.col("path"), F.col("sig"))).alias("path")).select(known), "paths")
+    found.append(staged(_screened(_once(_all(leaves)), sigs, False), "leaves"))
     return found, labels
 
 
@@ -376,6 +382,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set and its group."""
     out = groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
