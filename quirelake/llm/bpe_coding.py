@@ -488,4 +488,5 @@ def digest(df: DataFrame, text: str = "text", **kw) -> DataFrame:
 
 
 def op4_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of token ids, their digest, and that of what they decode to."""
     return digest(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

@@ -130,14 +130,20 @@ def _count(s: Column) -> Column:
 
 
 def _intervals(s: Column, r: Column) -> Column:
-    """All places of a rule in the text, as word intervals."""
-    found, rest = F.regexp_extract_all(s, r["pattern"], F.lit(0)), F.split(s, r["pattern"], -1)
-    sizes = F.arrays_zip(F.transform(rest, _count).alias("gap"), F.transform(found, _count).alias("size"))
-    place = lambda a, x: F.struct((a["at"] + x["gap"]).alias("first"), (a["at"] + x["gap"] + x["size"]).alias("end"), (-r["priority"]).alias("rank"), r["label"].alias("label"), r["confidence"].alias("confidence"))
-    kind = "array<struct<first:bigint,end:bigint,rank:int,label:string,confidence:double>>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
-    step = lambda a, x: F.when(x["size"].isNull(), a).otherwise(F.struct((a["at"] + x["gap"] + x["size"]).alias("at"), F.concat(a["out"], F.array(place(a, x))).alias("out")))
-    return F.aggregate(sizes, zero, step, lambda a: a["out"])
+    """All places of a rule in the text, as word intervals.
+
+    Matches are marked in the text, so their first and last words are found by one pass over its words.
+    """
+    inner = F.concat(F.lit(" ("), F.substring(r["pattern"], F.lit(2), F.length(r["pattern"]) - 2), F.lit(") "))
+    marked = F.regexp_replace(s, inner, F.lit(" \u0001$1\u0002 "))
+
+    def places(words: Column) -> Column:
+        at = lambda mark: F.filter(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(mark)), i)), lambda i: i.isNotNull())
+        both = F.arrays_zip(at("\u0001").alias("first"), at("\u0002").alias("last"))
+        return F.transform(both, lambda x: F.struct(x["first"].cast("long").alias("first"), (x["last"] + 1).cast("long").alias("end"), (-r["priority"]).alias("rank"), r["label"].alias("label"), r["confidence"].alias("confidence")))
+
+    none = F.array().cast("array<struct<first:bigint,end:bigint,rank:int,label:string,confidence:double>>")
+    return F.transform(F.array(marked), lambda m: F.when(F.contains(m, F.lit("\u0001")), places(F.split(F.btrim(m), "  "))).otherwise(none))[0]
 
 
 def _kept(places: Column) -> Column:
@@ -186,6 +192,7 @@ def scan(df: DataFrame, text: str = "text", signatures: list[dict] | None = None
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's places and labels of licenses."""
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")
 
 

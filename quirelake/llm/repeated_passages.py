@@ -17,7 +17,7 @@ A name is sent once a chunk however often it occurs, so a passage that many docu
 a packed row is never smaller than one name. Chunks and ranges grow in number with the data, not in size. All three
 steps read one shuffle of the documents.
 
-Null, empty and short texts keep everything. Windows are judged on the input; equal rows are different documents,
+Null, empty and short texts keep everything; a very long text is parsed whole, in one piece. Windows are judged on the input; equal rows are different documents,
 so their windows repeat. An empty table gives an empty result; extra columns are carried along and columns named
 like a result are replaced. The kept text is the kept words joined by one space.
 """
@@ -207,7 +207,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", diges
     log2 = (chunks - 1).bit_length()
     names = [c for c in without(df, NEW).columns]
     carried = names if text in names else [*names, text]
-    docs = df.select(*[F.col(f"`{c}`") for c in carried], F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.spark_partition_id()), F.lit(chunks)).cast("int").alias(_H + "chunk"))
+    docs = df.select(*[F.col(f"`{c}`") for c in carried], F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`"), F.spark_partition_id()), F.lit(chunks)).cast("int").alias(_H + "chunk"))
     docs = docs.repartition(partitions(spark), _H + "chunk")
 
     def ask(t: pa.Table) -> pa.Table:
@@ -250,6 +250,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", diges
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, how many of them repeat, and a digest of what is left."""
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True).drop("text")
 
 
