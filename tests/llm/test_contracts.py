@@ -238,38 +238,40 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
     assert v.merge(long) == v._merge_long([v.single[b] for b in long]) and v.merge_many(ws) == [v.merge(w) for w in ws]
 
 
-def test_language_model_equals_brute_force(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_equals_brute_force(spark, order):
     rows = [(i, t) for i, t, *_ in DOCS if i not in (None, 15)]
-    got = {r[0]: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "crc32(string(doc_id)) % 7 != 2 as l").repartition(3), *_folds()).collect()}
+    got = {r[0]: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), *_folds(), order=order, chunk_bytes=50_000).collect()}
     toks = {i: WORD.findall(low(t)) + [None] for i, t in rows}
     learn = {i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2}
-    uni, bi = Counter(), Counter()
-    for i in learn:
-        uni.update(toks[i])
-        bi.update(zip(["<s>", *toks[i]], toks[i]))  # noqa: B905
+    padded = {i: ["<s>"] * (order - 1) + w for i, w in toks.items()}
+    uni = Counter(x for i in learn for x in toks[i])
     n, v = sum(uni.values()), len(uni)
-    ctx, after, left = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-    for (a, b), c in bi.items():
-        ctx[a] += c
-        after[a][min(c, 3) - 1] += 1
-        left[b] += 1
-    d = lambda xs: language_model.discounts(np.array([sum(x == k for x in xs) for k in (1, 2, 3, 4)]))
-    hi, lo = d(bi.values()), d(left.values())
-    spare = sum(lo[min(x, 3)] for x in left.values()) / len(bi)
-    low_p = lambda w: max(left[w] - lo[min(left[w], 3)], 0) / len(bi) + spare / (v + 1)
-
-    def p(a, b):
-        if not ctx[a]:
-            return low_p(b)
-        c = bi[(a, b)]
-        return max(c - hi[min(c, 3)], 0) / ctx[a] + sum(x * y for x, y in zip(hi[1:], after[a])) / ctx[a] * low_p(b)  # noqa: B905
-
-    assert abs(sum(p("the", w) for w in uni) + p("the", "unseen") - 1) < 1e-9
+    value = {order: Counter(tuple(padded[i][k : k + order]) for i in learn for k in range(len(toks[i])))}
+    for k in range(order - 1, 0, -1):
+        value[k] = Counter(g[1:] for g in value[k + 1])
+    d = {k: language_model.discounts(np.array([sum(x == j for x in c.values()) for j in (1, 2, 3, 4)])) for k, c in value.items()}
+    total, after = defaultdict(Counter), defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
+    for k, c in value.items():
+        for g, x in c.items():
+            total[k][g[:-1]] += x
+            after[k][g[:-1]][min(x, 3) - 1] += 1
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (v + 1)
+        ctx, x = gram[:-1], value[k][gram]
+        if not total[k][ctx]:
+            return p(gram[1:])
+        return max(x - d[k][min(x, 3)], 0) / total[k][ctx] + sum(a * b for a, b in zip(d[k][1:], after[k][ctx])) / total[k][ctx] * p(gram[1:])  # noqa: B905
+
+    assert abs(sum(p(("brown", "fox", "the")[-order + 1 :] + (w,)) for w in uni) + p(("brown", "fox", "the")[-order + 1 :] + ("unseen",)) - 1) < 1e-9
     for i, w in toks.items():
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(uni[x] > 0 for x in w), n)
         assert math.isclose(r.base_score, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w)), rel_tol=1e-9)  # noqa: B905
+        assert math.isclose(r.score, sum(math.log10(p(tuple(padded[i][k : k + order]))) for k in range(len(w))), rel_tol=1e-9)
 
 
 def _folds():
