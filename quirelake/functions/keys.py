@@ -168,8 +168,8 @@ def read_isbn(value: Column, marked: Column | None = None) -> Column:
 
 
 def slugify(s: Column) -> Column:
-    """Lower-cased letters, digits and hyphens."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.btrim(s)), r"[^\p{L}\p{N}\s-]", ""), r"\s+", "-")
+    """Lower-cased letters, digits and hyphens, without tags."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.btrim(s)), "<[^>]+>", ""), r"[^\p{L}\p{N}\s-]", ""), r"\s+", "-")
 
 
 def reading_status(percent: Column) -> Column:
@@ -189,10 +189,12 @@ def is_scene_break(text: Column) -> Column:
     return t.rlike(r"^(?:[*#~⁂]\s*)+$") | t.rlike(r"^(?:[•·]\s*){3,}$")
 
 
+# Who made a scan, and sites that sign the books they hand out.
 _CREDIT = "(?:scanned|proofed|proof-?read|(?:re-?)?formatted|converted|uploaded)"
+CREDIT_SITES = r"demonoid|\bz-lib(?:rary)?\b|\blibgen\b|\blibrary genesis\b"
 
 
-def is_credit_line(text: Column, sites: str = r"\bz-lib(?:rary)?\b") -> Column:
+def is_credit_line(text: Column, sites: str = CREDIT_SITES) -> Column:
     """A short paragraph that credits who scanned or uploaded a book, or names a download site."""
     t = collapse(text)
     credit = rf"(?i)^[\p{{P}}\p{{S}}\s]*{_CREDIT}(?:\s*(?:,|&|\+|/|\band\b)\s*(?:and\s+)?{_CREDIT})*\s+by\b"
@@ -231,18 +233,131 @@ def is_noise(text: Column) -> Column:
     return ~t.rlike(r"[\p{L}\p{N}]{2}") & ~t.rlike(r"^([0-9]{1,3}|[IVXLC]{1,6})\.?$") & ~t.rlike(r"^([*•·.–—-]\s*){3,}$")
 
 
-_ROMAN = "(?=[ivxlcdm])m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
+# Fixed values.
+ROMAN = "(?=[ivxlcdm])m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
+NUMBER_WORDS = """one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+twenty thirty forty fifty sixty seventy eighty ninety hundred first second third fourth fifth sixth seventh eighth ninth tenth last
+en et to tre fire fem seks syv otte ni ti elleve tolv tretten fjorten femten seksten sytten atten nitten tyve tredive fyrre halvtreds
+tres halvfjerds firs halvfems hundrede første anden andet tredje fjerde femte sjette syvende ottende niende tiende sidste""".split()
+CHAPTER_NAMES = "chapter part book kapitel del bog".split()
+UNNUMBERED = "prologue prolog epilogue epilog interlude efterskrift".split()
+
+
+def _chapter_words() -> str:
+    number = rf"(?:[0-9]+|{ROMAN}|(?:{'|'.join(NUMBER_WORDS)})(?:-\p{{L}}+)?|(?:en|to|tre|fire|fem|seks|syv|otte|ni)og\p{{L}}+)(?![\p{{L}}0-9])"
+    return rf"(?:(?:{'|'.join(CHAPTER_NAMES)})\s+{number}|(?:{'|'.join(UNNUMBERED)})(?!\p{{L}}))[^0-9]*"
+
+
+def is_chapter_line(text: Column) -> Column:
+    """A paragraph that names a chapter by its words; no further number may follow."""
+    return text.rlike(f"(?iu)^{_chapter_words()}$")
 
 
 def is_chapter_title(text: Column) -> Column:
-    """A chapter word with a number in digits or Roman numerals, an opening or closing part, or a bare number."""
-    named = rf"(?:(?:chapter|part|book|kapitel|del|bog)\s+(?:[0-9]+|{_ROMAN})(?![\p{{L}}0-9])|(?:prologue|prolog|epilogue|epilog|interlude|efterskrift)(?!\p{{L}}))[^0-9]*"
-    return text.rlike(rf"(?i)^(?:{named}|(?:[0-9]+|{_ROMAN})\.?)$")
+    """A heading: a chapter's words, or a bare number in digits or Roman numerals."""
+    return text.rlike(rf"(?iu)^(?:{_chapter_words()}|(?:[0-9]+|{ROMAN})\.?)$")
+
+
+def guess_device(agent: Column, touch_points: Column | None = None) -> Column:
+    """What kind of device a user agent names; a Macintosh that is touched is an iPad."""
+    has = agent.rlike
+    touched = F.coalesce(touch_points if touch_points is not None else F.lit(0), F.lit(0)) > 1
+    return (
+        F.when(has("iPhone"), "iPhone")
+        .when(has("iPad") | (has("Macintosh") & touched), "iPad")
+        .when(has("(?i)Boox|Onyx"), "Boox")
+        .when(has("Android") & has("Mobile"), "Android phone")
+        .when(has("Android"), "Android tablet")
+        .when(has("Macintosh"), "Mac")
+        .when(has("Windows"), "Windows PC")
+        .when(has("Linux"), "Linux")
+        .otherwise("Browser")
+    )
+
+
+def five_words(text: Column) -> Column:
+    """A paragraph's first five words, lower-cased: how it is known again when it changed further on."""
+    return F.lower(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 5), " "))
+
+
+def clean_genre(name: Column) -> Column:
+    """Single spaces, none around it, 100 characters at most; "" for none."""
+    return F.btrim(F.substring(collapse(F.coalesce(name, F.lit(""))), 1, 100))
+
+
+def genre_key(name: Column) -> Column:
+    """Case, quotes and dashes do not matter."""
+    return F.translate(F.lower(nfkc(clean_genre(name))), QUOTES + DASHES, "'" * len(QUOTES) + "-" * len(DASHES))
+
+
+def path_key(path: Column) -> Column:
+    """A path as it sorts, with every number by its value."""
+    parts = F.regexp_extract_all(F.lower(path), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    padded = lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=[0-9])", ""), 20, "0")).otherwise(p)
+    return F.array_join(F.transform(parts, padded), "")
+
+
+def language_tag(value: Column) -> Column:
+    """A tag as browsers write it: language in lower case, region in capitals; "" for none or `und`.
+
+    Three-letter codes with a two-letter one become it.
+    """
+    v = F.btrim(F.coalesce(value, F.lit("")))
+    lang, rest = F.lower(F.regexp_extract(v, r"^([A-Za-z]{2,3})(?:-|$)", 1)), F.regexp_extract(v, r"^[A-Za-z]{2,3}(-.*)?$", 1)
+    short = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), lang), lang)
+    ok = v.rlike(r"^[A-Za-z]{2,3}(-[A-Za-z0-9]{1,8})*$") & (lang != "und")
+    part = lambda p: F.when(p.rlike("^[A-Za-z]{2}$"), F.upper(p)).when(p.rlike("^[A-Za-z]{4}$"), F.initcap(p)).otherwise(F.lower(p))
+    return F.when(ok, F.concat_ws("-", short, F.array_join(F.transform(F.filter(F.split(rest, "-"), lambda p: p != ""), part), "-"))).otherwise("")
+
+
+def language_code(value: Column) -> Column:
+    """The language of a tag alone."""
+    return F.substring_index(language_tag(value), "-", 1)
+
+
+#: Three-letter codes of languages that have a two-letter one (ISO 639).
+LANGUAGES = dict(x.split("=") for x in "eng=en dan=da deu=de ger=de fra=fr fre=fr spa=es ita=it nor=no swe=sv nld=nl dut=nl fin=fi por=pt rus=ru pol=pl isl=is ice=is jpn=ja zho=zh chi=zh lat=la".split())
+
+
+def search_text(text: Column) -> Column:
+    """A search without characters that the catalogue's query language reads."""
+    return collapse(F.regexp_replace(F.coalesce(text, F.lit("")), r'[+\-&|!(){}\[\]^"~*?:\\/]', " "))
+
+
+def search_for(text: Column) -> Column:
+    """A leading "by" in quotes, so that it is a word of the title and not an author's mark."""
+    return F.regexp_replace(text, r"(?i)^(by)(?=\s)", '"$1"')
+
+
+def public_image_url(url: Column) -> Column:
+    """An https address outside of internal networks, else null."""
+    host = F.lower(F.regexp_extract(url, r"^https://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    inside = host.rlike(r"^[0-9.]+$") | host.contains(":") | host.contains("[") | host.rlike(r"(^|\.)(localhost|local|internal)$")
+    return F.when((host != "") & ~inside, url)
+
+
+def book_uuid(book: Column, space: str = "ereader:") -> Column:
+    """A book's identifier, made from its id as a name-based UUID (version 5) is."""
+    h = F.sha1(F.concat(F.lit(space), book.cast("string")))
+    nibble = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat(F.lit("urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), nibble, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+def xml_safe(text: Column) -> Column:
+    """Text without the characters that XML can't hold."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FFFE}\x{FFFF}]", "")
+
+
+def base32(text: Column) -> Column:
+    """A number in the digits 0-9 and A-V."""
+    return F.conv(text, 32, 10).cast("long")
+
+
+def valid_username(name: Column) -> Column:
+    """J43."""
+    return F.coalesce(name.rlike(r"^[a-zA-Z0-9._-]{2,32}$"), F.lit(False))
 
 
-def guess_device(agent: Column) -> Column:
-    """What kind of device a user agent names."""
-    out = F.when(agent.rlike("(?i)kindle"), "Kindle")
-    for pattern, name in (("ipad", "iPad"), ("iphone", "iPhone"), ("android", "Android"), ("windows", "Windows"), ("macintosh", "Mac"), ("linux", "Linux")):
-        out = out.when(agent.rlike(f"(?i){pattern}"), name)
-    return out.otherwise("Browser")
+def valid_password(word: Column) -> Column:
+    """J43."""
+    return F.coalesce(utf16_len(word).between(4, 256), F.lit(False))

@@ -1,84 +1,26 @@
-"""Documents as blocks: plain text, and HTML by an allow-list of elements."""
+"""Documents as blocks: plain text in expressions, and HTML through the cleaner of `markup`."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import keys
-
-# The elements that stay, as blocks or inside them, and those that go with what they hold.
-BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "blockquote", "pre", "table", "tr", "td", "th", "section", "article", "figure", "figcaption", "dl", "dt", "dd", "hr", "main", "header", "footer"}
-DROPPED = {"script", "style", "form", "iframe", "object", "embed", "noscript", "template", "title", "head", "nav", "button", "select", "textarea"}
-
-
-class _Blocks(HTMLParser):
-    """Collapsed text of leaf blocks; malformed nesting is taken as it comes."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, str, int]] = []
-        self.tag, self.words, self.links, self.gone = "p", [], 0, []
-
-    def flush(self) -> None:
-        text = re.sub(r"\s+", " ", "".join(self.words)).strip()
-        if text:
-            self.out.append((self.tag, text, self.links))
-        self.words, self.links = [], 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in DROPPED and tag not in ("head", "title"):
-            self.gone.append(tag)
-        elif tag == "title":
-            self.gone.append(tag)
-        if self.gone:
-            return
-        if tag in BLOCKS:
-            self.flush()
-            self.tag = tag
-        elif tag == "br":
-            self.words.append(" ")
-        elif tag == "a" and dict(attrs).get("href"):
-            self.links += 1
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.gone:
-            if tag in self.gone:
-                del self.gone[self.gone.index(tag) :]
-            return
-        if tag in BLOCKS:
-            self.flush()
-            self.tag = "p"
-
-    def handle_data(self, data: str) -> None:
-        if not self.gone:
-            self.words.append(data)
-
-
-def blocks_of(html: str | None) -> list[tuple[str, str, int]]:
-    """(element, text, links) of an HTML text's blocks, in order."""
-    p = _Blocks()
-    p.feed(html or "")
-    p.close()
-    p.flush()
-    return p.out
-
+from quirelake.operators import markup
 
 def html_blocks(df: DataFrame, key: str, html: str) -> DataFrame:
-    """Rows (key, ord, tag, text, links)."""
+    """Rows (key, ord, tag, text) of a document's paragraphs."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, i, *x) for k, h in zip(b[key], b[html], strict=True) for i, x in enumerate(blocks_of(h))]
-            yield pd.DataFrame(rows, columns=[key, "ord", "tag", "text", "links"])
+            rows = [(k, i, *x) for k, h in zip(b[key], b[html], strict=True) for i, x in enumerate(markup.paragraphs(markup.normalised(h)))]
+            yield pd.DataFrame(rows, columns=[key, "ord", "tag", "text"])
 
-    return df.select(key, html).mapInPandas(run, f"{key} {kind}, ord int, tag string, text string, links int")
+    return df.select(key, html).mapInPandas(run, f"{key} {kind}, ord int, tag string, text string")
 
 
 def text_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -98,12 +40,11 @@ def text_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     return t.select(key, (F.col("p") + 1).cast("int").alias("ord"), F.when(heading, "h2").otherwise("p").alias("kind"), F.length(x).cast("long").alias("chars"), "hard_wrapped")
 
 
-def early_lines(df: DataFrame, key: str, text: str, pattern: str, reach: int = 20) -> DataFrame:
-    """Short lines that match a pattern among the first `reach` paragraphs of a document."""
+def early_lines(df: DataFrame, key: str, text: str, reach: int = 20) -> DataFrame:
+    """Credit lines among the first `reach` paragraphs of a document."""
     full = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     t = df.select(key, F.posexplode(F.slice(full, 1, reach)).alias("p", "line"))
-    chars = F.length(F.trim(F.regexp_replace("line", r"\s+", " ")))
-    return t.where(F.col("line").rlike(pattern) & (chars < 200)).select(key, (F.col("p") + 1).cast("long").alias("n"), chars.cast("long").alias("chars"))
+    return t.where(keys.is_credit_line(F.col("line"))).select(key, (F.col("p") + 1).cast("long").alias("n"), F.length(keys.collapse(F.col("line"))).cast("long").alias("chars"))
 
 
 def chapter_blocks(blocks: DataFrame, key: str) -> DataFrame:

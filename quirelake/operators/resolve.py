@@ -13,7 +13,7 @@ REASONS = {"file": 1, "isbn": 2, "title": 3}
 
 def pairs_by(df: DataFrame, key: str, id_: str, reason: str, where=None) -> DataFrame:
     """C14: pairs a < b with an equal key. Keys of one row are dropped before the join."""
-    rows = df.where(F.col(key).isNotNull() & (F.col(key) != ""))
+    rows = df.where(F.col(key).isNotNull() & ~F.col(key).isin("", "untitled" if reason == "title" else ""))
     several = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
     rows = rows.join(several, key, "left_semi")
     a, b = rows.alias("a"), rows.alias("b")
@@ -21,6 +21,21 @@ def pairs_by(df: DataFrame, key: str, id_: str, reason: str, where=None) -> Data
     return a.join(b, on if where is None else on & where).select(F.col(f"a.{id_}").alias("a"), F.col(f"b.{id_}").alias("b"), F.lit(REASONS[reason]).alias("priority"))
 
 
+def star_edges(df: DataFrame, key: str, id_: str, reason: str) -> DataFrame:
+    """Links of each row to the smallest one of its key: enough for components, and linear in a hot key."""
+    rows = df.where(F.col(key).isNotNull() & (F.col(key) != "")).select(key, id_)
+    first = rows.groupBy(key).agg(F.min(id_).alias("a"), F.count("*").alias("_n")).where("_n > 1")
+    return rows.join(first, key).where(F.col(id_) > F.col("a")).select("a", F.col(id_).alias("b"), F.lit(REASONS[reason]).alias("priority"))
+
+
+def component_edges(df: DataFrame, key: str, id_: str, reason: str, different: DataFrame) -> DataFrame:
+    """Links that connect what pairs_by connects: a star a key, and all pairs of a key that has a pair declared different."""
+    of = df.select(F.col(id_).alias("_id"), F.col(key).alias("_key")).where(F.col(key) != "")
+    both = different.join(of.withColumnsRenamed({"_id": "a", "_key": "x"}), "a").join(of.withColumnsRenamed({"_id": "b", "_key": "y"}), "b").where("x = y")
+    parted = both.select(F.col("x").alias(key)).distinct()
+    return star_edges(df.join(parted, key, "left_anti"), key, id_, reason).unionByName(pairs_by(df.join(parted, key, "left_semi"), key, id_, reason))
+
+
 def title_pairs(df: DataFrame, id_: str, title: str, author: str) -> DataFrame:
     """Equal titles, and authors that agree or are unknown."""
     unknown = (F.col(f"a.{author}") == "") | (F.col(f"b.{author}") == "")
@@ -54,10 +69,13 @@ def similar_titles(left: DataFrame, right: DataFrame, least: float = keys.SAME_T
 
 
 def rank_matches(matches: DataFrame, lookup: str, top: int = 5) -> DataFrame:
-    """Matches (key, ord, score) of a lookup: the first of each key, best first, without zeros unless all are."""
+    """Matches (key, ord, score, by_author) of a lookup: the first of each key, best first.
+
+    Matches without a word in common go; only where there are no others do those by the author stay.
+    """
     once = matches.withColumn("_k", F.row_number().over(Window.partitionBy(lookup, "key").orderBy("ord"))).where("_k = 1").drop("_k")
     best = F.max("score").over(Window.partitionBy(lookup))
-    shown = once.withColumn("_best", best).where("score > 0 or _best = 0").drop("_best")
+    shown = once.withColumn("_best", best).where("score > 0 or (_best = 0 and by_author)").drop("_best")
     place = F.row_number().over(Window.partitionBy(lookup).orderBy(F.desc("score"), "ord"))
     return shown.withColumn("place", place).where(F.col("place") <= top)
 

@@ -70,6 +70,14 @@ def upper_median(values: Column) -> Column:
     return F.get(v, F.floor(F.size(v) / 2).cast("int"))
 
 
+def upper_medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """D14 over a table: rows are ranked where they are sorted, and no group is held in a row."""
+    v = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(group, value)
+    sizes = v.groupBy(group).agg((F.floor(F.count("*") / 2) + 1).alias("_middle"))
+    ranked = v.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(value)))
+    return ranked.join(sizes, group).where("_n = _middle").select(group, F.col(value).alias("median"))
+
+
 def unique_slugs(df: DataFrame, book: str, slug: str, order: str) -> DataFrame:
     """The second `x` becomes `x-1`."""
     n = F.row_number().over(Window.partitionBy(book, slug).orderBy(order)) - 1

@@ -19,8 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.functions import titles
+
 # What files begin with.
-IMAGE_HEADS = {"png": "89504E47", "gif": "474946", "jpg": "FFD8FF", "bmp": "424D"}
+IMAGE_HEADS = {"jpg": "FFD8", "png": "8950", "gif": "4749", "bmp": "424D"}
 
 
 def book_files(spark: SparkSession, path: str) -> DataFrame:
@@ -37,16 +39,15 @@ def skipped(files: DataFrame, kept: list[str]) -> DataFrame:
 
 def detect_format(content: Column, name: Column) -> Column:
     """By first bytes, then by extension; without one it is text; null if unknown."""
+    has = lambda text: F.instr(F.hex(content), F.hex(F.lit(text))) > 0
     head = lambda a, n: F.substring(content, a, n)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    known = F.when(ext.isin("epub", "pdf", "mobi", "txt", "md"), ext).when(ext.isin("azw", "azw3", "prc"), "mobi").when(ext == "markdown", "md").when(ext.isin("text", ""), "txt")
-    zipped = F.hex(head(1, 4)) == "504B0304"
+    known = F.when(ext.isin("epub", "pdf", "mobi"), ext).when(ext.isin("azw", "azw3", "prc", "kf8"), "mobi").when(ext.isin("md", "markdown"), "md").when(ext.isin("txt", "text", ""), "txt")
+    kind = F.hex(head(61, 8))
     return (
-        F.when(F.hex(head(1, 5)) == "255044462D", "pdf")
-        .when(zipped & (F.instr(F.hex(head(1, 200)), F.hex(F.lit("application/epub+zip"))) > 0), "epub")
-        .when(F.hex(head(61, 8)) == F.hex(F.lit("BOOKMOBI")), "mobi")
-        .when(zipped & (ext == "epub"), "epub")
-        .when(zipped, F.lit(None))
+        F.when(F.hex(head(1, 4)) == "25504446", "pdf")
+        .when((F.hex(head(1, 2)) == "504B") & ((ext == "epub") | has("META-INF/container.xml") | has("mimetypeapplication/epub+zip")), "epub")
+        .when((kind == F.hex(F.lit("BOOKMOBI"))) | (kind == F.hex(F.lit("TEXtREAd"))), "mobi")
         .otherwise(known)
     )
 
@@ -68,6 +69,11 @@ def image_size(data: bytes) -> tuple[int, int] | None:
         return struct.unpack(">II", data[16:24])
     if data[:3] == b"GIF" and len(data) >= 10:
         return struct.unpack("<HH", data[6:10])
+    if data[:4] == b"RIFF" and data[12:16] == b"VP8 " and len(data) >= 30:
+        return int.from_bytes(data[26:28], "little") & 0x3FFF, int.from_bytes(data[28:30], "little") & 0x3FFF
+    if data[:4] == b"RIFF" and data[12:16] == b"VP8L" and len(data) >= 25:
+        bits = int.from_bytes(data[21:25], "little")
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
     if data[:4] == b"RIFF" and data[12:16] == b"VP8X" and len(data) >= 30:
         return int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1
     at = 2
@@ -113,19 +119,47 @@ def _text(e: ElementTree.Element) -> str:
     return re.sub(r"\s+", " ", "".join(e.itertext())).strip()
 
 
-def package_details(opf: bytes) -> dict:
-    """Title, creators joined by ", ", language, identifiers and series of a package."""
-    root = ElementTree.fromstring(opf)
-    first = lambda n: next((t for e in _local(root, n) if (t := _text(e))), "")
-    metas = _local(root, "meta")
-    named = {m.get("name"): m.get("content", "") for m in metas if m.get("name")}
-    refined = {(m.get("refines", "").lstrip("#"), m.get("property")): _text(m) for m in metas if m.get("refines")}
-    groups = [(_text(m), refined.get((m.get("id", ""), "group-position"), "")) for m in metas if m.get("property") == "belongs-to-collection"]
+def isbn13(value: str, marked: bool = False) -> str | None:
+    """J18 for one value: 13 digits with a right check digit, or 10 that are marked as an ISBN."""
+    m = re.match(r"(?:urn:)?isbn(?:[-\s]?1[03])?(?:\s*:\s*|\s+)", value.strip(), re.I)
+    d = re.sub(r"[\s-]", "", re.match(r"(?:[0-9X][0-9X\s-]*)?", value.strip()[m.end() if m else 0 :], re.I)[0]).upper()
+    if re.fullmatch(r"97[89]\d{10}", d) and sum(int(c) * (3 if i % 2 else 1) for i, c in enumerate(d)) % 10 == 0:
+        return d
+    if (m or marked) and re.fullmatch(r"\d{9}[\dX]", d) and sum((10 - i) * (10 if c == "X" else int(c)) for i, c in enumerate(d)) % 11 == 0:
+        body = "978" + d[:9]
+        return body + str(-sum(int(c) * (3 if i % 2 else 1) for i, c in enumerate(body)) % 10)
+    return None
+
+
+def package_details(opf: bytes | ElementTree.Element) -> dict:
+    """Title, creators joined by ", ", language, ISBNs and series of a package, "" where it names none.
+
+    The title is the main one by its type. Series are collections and the library program's own; sets come last.
+    """
+    root = ElementTree.fromstring(opf) if isinstance(opf, bytes) else opf
+    meta = next(iter(_local(root, "metadata")), root)
+    metas, names = _local(meta, "meta"), _local(meta, "title")
+    refined: dict[str, dict[str, str]] = {}
+    for m in metas:
+        if m.get("refines") and m.get("property"):
+            refined.setdefault(m.get("refines").lstrip("#"), {}).setdefault(m.get("property").lower(), _text(m))
+    kind = lambda e: refined.get(e.get("id", ""), {}).get("title-type", "").lower()
+    main = next((t for t in names if kind(t) == "main"), None) or next((t for t in names if kind(t) not in titles.NOT_MAIN_TITLES), None)
+    main = names[0] if main is None and names else main
+    series, sets = [], []
+    for m in metas:
+        if (m.get("property") or "").lower() == "belongs-to-collection" and not m.get("refines"):
+            more = refined.get(m.get("id", ""), {})
+            (sets if more.get("collection-type", "").lower() == "set" else series).append((_text(m), more.get("group-position"), None))
+    named = {(m.get("name") or "").lower(): m.get("content", "") for m in reversed(metas) if m.get("name")}
     if named.get("calibre:series"):
-        groups.insert(0, (named["calibre:series"], named.get("calibre:series_index", "")))
+        series.append((named["calibre:series"], named.get("calibre:series_index"), None))
+    sets += [(_text(t), None, None) for t in names if kind(t) == "collection"]
+    scheme = lambda e: any(k.rpartition("}")[2] == "scheme" and v.lower() == "isbn" for k, v in e.attrib.items())
+    found = [isbn13(_text(e), scheme(e)) for n in ("identifier", "source") for e in _local(meta, n)]
     return {
-        "title": first("title"), "author": ", ".join(filter(None, map(_text, _local(root, "creator")))), "language": first("language"),
-        "identifiers": [_text(e) for e in _local(root, "identifier")], "series": [{"name": n, "place": p} for n, p in groups if n],
+        "title": _text(main) if main is not None else "", "author": ", ".join(filter(None, map(_text, _local(meta, "creator")))), "language": next((t for e in _local(meta, "language") if (t := _text(e))), ""),
+        "isbns": list(dict.fromkeys(filter(None, found))), "series": [{"name": n, "position": a, "position_end": b} for n, a, b in titles.unique_series([*series, *sets])],
     }
 
 
@@ -163,26 +197,52 @@ def _contents_ncx(xml: bytes, path: str) -> list[dict]:
     return [r | {"target": resolve_path(path, r["href"]) if r["href"] else ""} for r in rows]
 
 
+def _is_html(path: str) -> bool:
+    return bool(re.search(r"\.x?html?$", path, re.I))
+
+
 def read_epub(data: bytes) -> dict:
-    """Details, files in reading order, and the flat contents (nav first, then NCX)."""
+    """Details, files in reading order, flat contents (nav first, then NCX), styles and the cover's path.
+
+    Without a container the first package in the archive counts, and without a spine all HTML files by name.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        container = ElementTree.fromstring(z.read("META-INF/container.xml"))
-        opf_path = _local(container, "rootfile")[0].get("full-path", "")
-        opf = z.read(opf_path)
-        root, there = ElementTree.fromstring(opf), set(z.namelist())
-        items = {e.get("id"): e for e in _local(root, "item")}
+        there = set(z.namelist())
+        opf_path = ""
+        if "META-INF/container.xml" in there:
+            opf_path = next((r.get("full-path", "") for r in _local(ElementTree.fromstring(z.read("META-INF/container.xml")), "rootfile")), "")
+        if opf_path not in there:
+            opf_path = next((n for n in z.namelist() if n.lower().endswith(".opf")), "")
+        if not opf_path:
+            raise KeyError("no package document")
+        root = ElementTree.fromstring(z.read(opf_path))
+        items = {e.get("id"): e for e in _local(root, "item") if e.get("href")}
         href = lambda e: resolve_path(opf_path, e.get("href", ""))
-        spine = [href(items[r.get("idref")]) for r in _local(root, "itemref") if r.get("idref") in items]
-        nav = next((href(e) for e in items.values() if "nav" in e.get("properties", "").split()), None)
-        ncx = next((href(e) for e in items.values() if e.get("media-type") == "application/x-dtbncx+xml"), None)
+        has = lambda e, word: word in (e.get("properties") or "").split()
+        spine = [(href(items[r.get("idref")]), (r.get("linear") or "yes") != "no") for r in _local(root, "itemref") if r.get("idref") in items]
+        spine = [(p, linear) for p, linear in spine if p in there and _is_html(p)] or [(n, True) for n in sorted(there) if _is_html(n)]
+        if not spine:
+            raise KeyError("no readable chapters")
+        chapters = [{"path": p, "html": decode_text(z.read(p)), "linear": linear} for p, linear in spine]
+        nav = next((href(e) for e in items.values() if has(e, "nav")), None)
+        ncx = next((href(e) for e in items.values() if e.get("media-type") == "application/x-dtbncx+xml" or href(e).lower().endswith(".ncx")), None)
         contents = _contents_nav(z.read(nav), nav) if nav in there else []
         if not contents and ncx in there:
             contents = _contents_ncx(z.read(ncx), ncx)
-        return package_details(opf) | {"chapters": [{"path": p, "html": decode_text(z.read(p))} for p in spine if p in there], "contents": contents}
-
-
-_EPUB = """title string, author string, language string, identifiers array<string>, series array<struct<name:string,place:string>>,
-chapters array<struct<path:string,html:string>>, contents array<struct<title:string,href:string,depth:int,parent:int,target:string>>, error string"""
+        css = [decode_text(z.read(href(e))) for e in items.values() if e.get("media-type") == "text/css" and href(e) in there]
+        css += [m for c in chapters for m in re.findall(r"<style[^>]*>(.*?)</style>", c["html"], re.S | re.I)]
+        pictures = [n for n in there if re.search(r"\.(jpe?g|png|gif|webp|svg|bmp)$", n, re.I)]
+        meant = next((m.get("content") for m in _local(root, "meta") if (m.get("name") or "").lower() == "cover"), None)
+        cover = next((href(e) for e in [items.get(meant), *(e for e in items.values() if has(e, "cover-image")), *(e for e in items.values() if "image/" in (e.get("media-type") or "") and "cover" in (e.get("id", "") + e.get("href", "")).lower())] if e is not None and href(e) in there), None)
+        if cover is None:
+            guide = next((href(r) for r in _local(root, "reference") if "cover" in (r.get("type") or "").lower()), spine[0][0])
+            shown = re.search(r"(?:src|xlink:href|href)=[\"']([^\"']+\.(?:jpe?g|png|gif|webp))[\"']", decode_text(z.read(guide)) if guide in there else "", re.I)
+            cover = resolve_path(guide, shown[1]) if shown and resolve_path(guide, shown[1]) in there else None
+        return package_details(root) | {"chapters": chapters, "contents": contents, "css": "\n".join(css), "cover": cover, "images": sorted(pictures)}
+
+
+_EPUB = """title string, author string, language string, isbns array<string>, series array<struct<name:string,position:double,position_end:double>>,
+chapters array<struct<path:string,html:string,linear:boolean>>, contents array<struct<title:string,href:string,depth:int,parent:int,target:string>>, css string, cover string, images array<string>, error string"""
 
 
 def epubs(files: DataFrame) -> DataFrame:

@@ -28,15 +28,35 @@ def _fold(rows: pd.DataFrame, held: pd.Timestamp | None) -> tuple[list[bool], pd
     return said, held
 
 
+def _sorted_folds(batches: Iterator[pd.DataFrame], keys: list[str], begin, step, columns: list[str]) -> Iterator[pd.DataFrame]:
+    """One fold a key over rows that come sorted by it, a batch at a time: step(state, row) gives (state, values)."""
+    now, state = None, None
+    for b in batches:
+        out = []
+        for row in b.itertuples(index=False):
+            key = tuple(getattr(row, k) for k in keys)
+            if key != now:
+                now, state = key, begin(row)
+            state, said = step(state, row)
+            out.append(said)
+        yield pd.DataFrame(out, columns=columns)
+
+
 def accept_progress(df: DataFrame) -> DataFrame:
-    """L01, L02 over a batch: rows (user_id, book_id, event_id, updated_at, known_updated_at, force) in time order."""
+    """L01, L02 over a batch: rows (user_id, book_id, event_id, updated_at, known_updated_at, force) in time order.
+
+    Rows are sorted within partitions of keys and folded as they stream by: a key is never held, however hot.
+    """
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["updated_at", "event_id"])
-        t["accepted"], _ = _fold(t, None)
-        return t[["user_id", "book_id", "event_id", "updated_at", "accepted"]]
+    def step(held: pd.Timestamp | None, r) -> tuple:
+        ok = held is None or pd.isna(r.known_updated_at) or bool(r.force) or not held > r.known_updated_at
+        return (r.updated_at if ok else held), (r.user_id, r.book_id, r.event_id, r.updated_at, ok)
 
-    return df.groupBy("user_id", "book_id").applyInPandas(run, _OUT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _sorted_folds(batches, ["user_id", "book_id"], lambda _: None, step, ["user_id", "book_id", "event_id", "updated_at", "accepted"])
+
+    rows = df.select("user_id", "book_id", "event_id", F.col("updated_at").cast("timestamp"), F.col("known_updated_at").cast("timestamp"), "force")
+    return rows.repartition("user_id", "book_id").sortWithinPartitions("user_id", "book_id", "updated_at", "event_id").mapInPandas(run, _OUT)
 
 
 def accept_progress_stream(df: DataFrame) -> DataFrame:
@@ -65,18 +85,29 @@ def session_expiry(df: DataFrame, token: str, ts: str, life: str = "30 days", to
     kind = df.schema[token].dataType.simpleString()
     span, least = pd.Timedelta(life), pd.Timedelta(touch)
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(ts)
-        seen = t[ts].iloc[0]
-        expires, valid = seen + span, []
-        for at in t[ts]:
-            ok = at < expires
-            if ok and at - seen >= least:
-                seen, expires = at, at + span
-            valid.append(ok)
-        return pd.DataFrame({token: t[token], ts: t[ts], "valid": valid, "expires": expires})
-
-    return df.select(token, F.col(ts).cast("timestamp").alias(ts)).groupBy(token).applyInPandas(run, f"{token} {kind}, {ts} timestamp, valid boolean, expires timestamp")
+    def step(state: tuple, r) -> tuple:
+        (seen, expires), at = state, getattr(r, ts)
+        ok = at < expires
+        if ok and at - seen >= least:
+            seen, expires = at, at + span
+        return (seen, expires), (getattr(r, token), at, ok, expires)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _sorted_folds(batches, [token], lambda r: (getattr(r, ts), getattr(r, ts) + span), step, [token, ts, "valid", "expires"])
+
+    rows = df.select(token, F.col(ts).cast("timestamp").alias(ts)).repartition(token).sortWithinPartitions(token, ts)
+    return rows.mapInPandas(run, f"{token} {kind}, {ts} timestamp, valid boolean, expires timestamp")
+
+
+def settled(df: DataFrame, keys: list[str], ts: str, quiet: str = "1200 milliseconds") -> DataFrame:
+    """Of writes closer together than `quiet` only the last is sent, when it has been quiet for so long."""
+    w = df.groupBy(*keys, F.session_window(F.col(ts).cast("timestamp"), quiet).alias("w"))
+    return w.agg(F.max(ts).alias("last_write"), F.count("*").alias("writes")).withColumn("sent_at", F.col("w.end")).drop("w")
+
+
+def one_worker(queue: DataFrame, book: str, at: str) -> DataFrame:
+    """A book that is queued already is not queued again; one worker takes them in order."""
+    return queue.groupBy(book).agg(F.min(at).alias(at)).orderBy(at, book)
 
 
 def windowed_counts(df: DataFrame, ts: str, window: str, late: str) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 import pytest
 
 from quirelake.functions import keys
-from quirelake.plans import queries as q
+from quirelake.plans import registry as q
 
 
 @pytest.mark.parametrize("name", sorted(q.SQL))
