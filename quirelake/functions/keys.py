@@ -307,7 +307,7 @@ def language_tag(value: Column) -> Column:
     short = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), lang), lang)
     ok = v.rlike(r"^[A-Za-z]{2,3}(-[A-Za-z0-9]{1,8})*$") & (lang != "und")
     part = lambda p: F.when(p.rlike("^[A-Za-z]{2}$"), F.upper(p)).when(p.rlike("^[A-Za-z]{4}$"), F.initcap(p)).otherwise(F.lower(p))
-    return F.when(ok, F.concat_ws("-", short, F.array_join(F.transform(F.filter(F.split(rest, "-"), lambda p: p != ""), part), "-"))).otherwise("")
+    return F.when(ok, F.array_join(F.concat(F.array(short), F.transform(F.filter(F.split(rest, "-"), lambda p: p != ""), part)), "-")).otherwise("")
 
 
 def language_code(value: Column) -> Column:

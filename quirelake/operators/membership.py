@@ -106,7 +106,7 @@ def merge_series(members: DataFrame, moves: DataFrame) -> DataFrame:
     the pair of numbers from the first source that has one.
     """
     m = members.join(moves.select(F.col("source").alias("series"), "target"), "series", "left")
-    m = m.withColumn("into", F.coalesce("target", "series")).withColumn("turn", F.when(F.col("target").isNull(), F.struct(F.lit(0).alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(F.struct(F.lit(1), F.col("series").cast("long"))))
+    m = m.withColumn("into", F.coalesce("target", "series")).withColumn("turn", F.when(F.col("target").isNull(), F.struct(F.lit(0).alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(F.struct(F.lit(1).alias("a"), F.col("series").cast("long").alias("b"))))
     place = F.min_by(F.struct("position", "position_end"), F.when(F.col("position").isNotNull(), F.col("turn")))
     return m.groupBy(F.col("into").alias("series"), "book").agg(place.alias("p"), F.min_by("ord", "turn").alias("ord")).select("series", "book", "p.position", "p.position_end", "ord")
 

@@ -10,7 +10,7 @@ from quirelake.operators import edits, library, membership
 from quirelake.plans.queries import _t, query
 
 _SHELF = """shelf as (select l_orderkey series, l_partkey book, case when min(l_quantity) < 40 then cast(min(l_linenumber) as double) end as position,
-  case when min(l_quantity) < 10 then cast(min(l_linenumber) + 2 as double) end position_end, l_orderkey * 10 + min(l_linenumber) ord from lineitem group by l_orderkey, l_partkey)"""
+  case when min(l_quantity) < 10 then cast(min(l_linenumber) + 2 as double) end position_end, min(l_linenumber) * 10000000 + l_partkey ord from lineitem group by l_orderkey, l_partkey)"""
 _SERIES = "named as (select o_orderkey series, o_orderpriority || ' ' || (o_orderkey % 300) as name from orders)"
 _BOOKS = "books as (select p_partkey book, p_name title, p_brand author, case when p_size < 5 then '' else p_type end genre from part)"
 
@@ -19,7 +19,7 @@ def _shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as memberships: the order is the series, the part the book."""
     n, q = F.min("l_linenumber"), F.min("l_quantity")
     lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("series"), F.col("l_partkey").alias("book"))
-    return lines.agg(F.when(q < 40, n.cast("double")).alias("position"), F.when(q < 10, (n + 2).cast("double")).alias("position_end"), (F.col("series") * 10 + n).alias("ord"))
+    return lines.agg(F.when(q < 40, n.cast("double")).alias("position"), F.when(q < 10, (n + 2).cast("double")).alias("position_end"), (n * 10_000_000 + F.col("book")).alias("ord"))
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,8 +350,8 @@ def set_genre_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "edit_details",
-    """with e as (select l_partkey book, max(l_comment_) new_title, max(l_shipdate) at from (select l_partkey, l_shipdate, case when l_quantity >= 45 then 'Part ' || l_partkey end l_comment_ from lineitem where l_returnflag = 'R') group by 1)
-select p_partkey book, coalesce(new_title, p_name) title, p_brand author, case when new_title is not null then at end edited_at from part left join e on book = p_partkey""",
+    """with e as (select l_partkey book, max(l_comment_) new_title, max(l_shipdate) "at" from (select l_partkey, l_shipdate, case when l_quantity >= 45 then 'Part ' || l_partkey end l_comment_ from lineitem where l_returnflag = 'R') group by 1)
+select p_partkey book, coalesce(new_title, p_name) title, p_brand author, case when new_title is not null then "at" end edited_at from part left join e on book = p_partkey""",
 )
 def edit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles edited by hand, and when."""
@@ -390,22 +390,22 @@ def shifted_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "places_now",
-    """select l_orderkey, l_linenumber, case when l_suppkey % 3 > 0 and l_suppkey % 3 <> l_partkey % 3 then cast(l_tax * 100 as bigint) else l_partkey % 50 end section,
-case when l_suppkey % 3 > 0 and l_suppkey % 3 <> l_partkey % 3 then cast(l_discount * 100 as bigint) else l_partkey % 70 end "offset" from lineitem""",
+    """select o_orderkey, case when o_custkey % 3 > 0 and o_custkey % 3 <> o_orderkey % 4 then o_custkey % 7 else o_orderkey % 50 end section,
+case when o_custkey % 3 > 0 and o_custkey % 3 <> o_orderkey % 4 then o_custkey % 11 else o_orderkey % 70 end "offset" from orders""",
 )
 def places_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places sent from another version of the book are found again by their percent."""
-    lines, key = _t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
-    sent = lines.select(*key, (F.col("l_partkey") % 50).alias("section"), (F.col("l_partkey") % 70).alias("offset"), (F.col("l_suppkey") % 3).alias("version"), (F.col("l_partkey") % 3).alias("current"))
-    found = lines.select(*key, F.round(F.col("l_tax") * 100).cast("long").alias("now_section"), F.round(F.col("l_discount") * 100).cast("long").alias("now_offset"))
-    return edits.place_now(sent, found, key).select(*key, "section", "offset")
+    o, key = _t(spark, sf_dir, "orders"), F.col("o_orderkey")
+    sent = o.select(key, (key % 50).alias("section"), (key % 70).alias("offset"), (F.col("o_custkey") % 3).alias("version"), (key % 4).alias("current"))
+    found = o.select(key, (F.col("o_custkey") % 7).alias("now_section"), (F.col("o_custkey") % 11).alias("now_offset"))
+    return edits.place_now(sent, found, ["o_orderkey"]).select("o_orderkey", "section", "offset")
 
 
 @query(
     "renamed_titles",
-    """with s as (select conv_id book, turn section, role title from conversations), f as (select book, min(section) at from s where title = 'user' group by 1),
-x as (select s.book, s.section, s.title, at, min(s.section) filter (s.title <> 'user' and s.section > at) over (partition by s.book) stop from s left join f using (book))
-select book, section, case when section >= at and section < coalesce(stop, 1000000) and title = 'user' then 'Reader' else title end title from x""",
+    """with s as (select conv_id book, turn section, role title from conversations), f as (select book, min(section) "at" from s where title = 'user' group by 1),
+x as (select s.book, s.section, s.title, "at", min(s.section) filter (s.title <> 'user' and s.section > "at") over (partition by s.book) stop from s left join f using (book))
+select book, section, case when section >= "at" and section < coalesce(stop, 1000000) and title = 'user' then 'Reader' else title end title from x""",
 )
 def renamed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A title changes in its section and those after it that have the same one."""
@@ -463,7 +463,7 @@ def toggled_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "second_search_only",
-    """with s as (select l_orderkey, coalesce(list(l_partkey order by l_linenumber) filter (l_quantity < 25), []) one, coalesce(list(l_partkey order by l_linenumber) filter (l_quantity >= 20), []) two from lineitem group by 1)
+    """with s as (select l_orderkey, coalesce(list(l_partkey order by l_linenumber, l_partkey) filter (l_quantity < 25), []) one, coalesce(list(l_partkey order by l_linenumber, l_partkey) filter (l_quantity >= 20), []) two from lineitem group by 1)
 select l_orderkey, array_to_string(list_filter(two, lambda x: not list_contains(one, x)), ',') more from (select l_orderkey, one, list_transform(list_sort(list_transform(list_distinct(two), lambda x: {'i': list_position(two, x), 'x': x})), lambda y: y.x) two from s)""",
 )
 def second_search_only(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from quirelake.operators import assembly, markup, outline, sections, styles
 from quirelake.plans.queries import _t, query
 from quirelake.streaming import sync
 
-_TURNS = "turns as (select conv_id book, turn ord, turn * 7 % 4 depth, turn * 100 at, (select max(turn) from conversations c where c.conv_id = d.conv_id) * 100 + 100 total, length(text) chars, role, text from conversations d)"
+_TURNS = """turns as (select conv_id book, turn ord, turn * 7 % 4 depth, turn * 100 "at", (select max(turn) from conversations c where c.conv_id = d.conv_id) * 100 + 100 total, length(text) chars, role, text from conversations d)"""
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def contents_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.with_parents(_turns(spark, sf_dir), "book", "ord", "depth").select("book", "ord", "depth", "parent")
 
 
-@query("contents_extents", f"with {_TURNS} select book, ord, coalesce((select min(n.at) from turns n where n.book = t.book and n.ord > t.ord and n.depth <= t.depth), total) - at holds from turns t")
+@query("contents_extents", f"""with {_TURNS} select book, ord, coalesce((select min(n."at") from turns n where n.book = t.book and n.ord > t.ord and n.depth <= t.depth), total) - t."at" holds from turns t""")
 def contents_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E04."""
     return outline.with_extents(_turns(spark, sf_dir), "book", "ord", "depth", "at", "total").select("book", "ord", "holds")
@@ -56,9 +56,9 @@ def contents_of_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "page_at_offset",
-    """with m as (select l_orderkey book, l_linenumber * 40 at, l_linenumber page from lineitem where l_returnflag <> 'R'),
+    """with m as (select l_orderkey book, l_linenumber * 40 "at", l_linenumber page from lineitem where l_returnflag <> 'R'),
 t as (select o_orderkey book, o_custkey % 300 "offset" from orders)
-select book, "offset", coalesce((select max(page) from m where m.book = t.book and m.at <= "offset"), 1) page from t""",
+select book, "offset", coalesce((select max(page) from m where m.book = t.book and m."at" <= "offset"), 1) page from t""",
 )
 def page_at_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page shown at a place: the last page mark at or before it."""
@@ -252,12 +252,12 @@ def file_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("p_partkey", "d.title", F.col("d.name").alias("series"), "d.position")
 
 
-@query("title_series", "select p_partkey, p_name title, p_brand series, cast(p_size as double) as position from part")
+@query("title_series", "select p_partkey, p_name title, p_type series, cast(p_size as double) as position from part")
 def title_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series that titles name in one of five forms."""
     size, form = F.col("p_size").cast("string"), F.col("p_partkey") % 5
     name = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) and not p.startswith("p_") else F.col(p) if isinstance(p, str) else p for p in parts])
-    brand = F.col("p_brand")
+    brand = F.col("p_type")
     text = (
         F.when(form == 0, name("p_name", " (", brand, ", Book ", size, ")"))
         .when(form == 1, name("p_name", " [", brand, " Bd. ", size, "]"))

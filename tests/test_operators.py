@@ -65,7 +65,8 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_merge_and_rank(spark):
-    m = spark.createDataFrame([("x", "a", 1, 0.0), ("x", "b", 2, 0.5), ("x", "b", 3, 0.9), ("y", "c", 1, 0.0)], "l string, key string, ord int, score double")
+    rows = [("x", "a", 1, 0.0, True), ("x", "b", 2, 0.5, False), ("x", "b", 3, 0.9, False), ("y", "c", 1, 0.0, True), ("y", "d", 2, 0.0, False)]
+    m = spark.createDataFrame(rows, "l string, key string, ord int, score double, by_author boolean")
     assert sorted((r.l, r.key, r.place) for r in resolve.rank_matches(m, "l").collect()) == [("x", "b", 1), ("y", "c", 1)]
 
 
@@ -107,9 +108,11 @@ def test_places_follow_the_text():
 
 
 def test_fixes_replay(spark):
-    p = spark.createDataFrame([("b", 0, "x"), ("b", 1, "y"), ("b", 2, "x")], "book string, ord int, text string")
-    f = spark.createDataFrame([("b", 1, ["x"], ["z"], 2), ("b", 2, ["z"], ["w"], 0), ("b", 3, ["q"], ["w"], 0)], "book string, fix_id int, old_text array<string>, new_text array<string>, at int")
-    assert [(r.applied, r.place) for r in positions.replay_fixes(p, f).orderBy("fix_id").collect()] == [(True, 2), (True, 2), (False, -1)]
+    p = spark.createDataFrame([("b", 0, 0, "x"), ("b", 0, 1, "y"), ("b", 0, 2, "x"), ("b", 1, 0, "x")], "book string, section int, ord int, text string")
+    rows = [("b", 1, 0, 2, ["x"], ["z"], "y", ""), ("b", 2, 0, 0, ["z"], ["w"], "q", "q"), ("b", 3, 0, 0, ["q"], ["w"], "", ""), ("b", 4, 1, 0, ["x"], ["v"], "", "")]
+    f = spark.createDataFrame(rows, "book string, fix_id int, section int, at int, old_text array<string>, new_text array<string>, before string, after string")
+    got = [(r.applied, r.to_section, r.place) for r in positions.replay_fixes(p, f).orderBy("fix_id").collect()]
+    assert got == [(True, 0, 2), (True, 0, 2), (False, -1, -1), (True, 1, 0)]
 
 
 def test_cuts():
@@ -117,9 +120,9 @@ def test_cuts():
     assert sections.cuts([(10, 1)], 50, 60) == []
 
 
-def test_html_blocks():
-    assert documents.blocks_of("<p>a <b>b</b><script>x</script><div>c<br>d</div><nav>n</nav>e") == [("p", "a b", 0), ("div", "c d", 0), ("p", "e", 0)]
-    assert documents.blocks_of(None) == []
+def test_html_blocks(spark):
+    df = spark.createDataFrame([(1, "<p>a <b>b</b><script>x</script><div>c<br>d</div><embed src=x><p>e"), (2, None)], "k int, h string")
+    assert [tuple(r) for r in documents.html_blocks(df, "k", "h").orderBy("ord").collect()] == [(1, 0, "p", "a b"), (1, 1, "div", "c d"), (1, 2, "p", "e")]
 
 
 def test_progress_batch_and_stream_agree(spark, tmp_path):
