@@ -155,12 +155,12 @@ def removed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ENTRIES = """entries as (select p_partkey book, k ord, case k when 0 then upper(p_type) when 1 then p_brand else lower(p_type) || ' ' end as name,
-  case when k = 2 then cast(p_size as double) when k = 1 then 7.0 end as position, cast(null as double) position_end from part, range(3) r(k) where p_retailprice > 1000)"""
+  case when k = 2 then cast(p_size as double) when k = 1 then 7.0 end as position, cast(null as double) position_end from part, range(3) r(k) where p_size > 25)"""
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What users gave as the series of dear books: one of them twice, in two spellings."""
-    p = _t(spark, sf_dir, "part").where("p_retailprice > 1000").select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("ord"))
+    """What users gave as the series of large books: one of them twice, in two spellings."""
+    p = _t(spark, sf_dir, "part").where("p_size > 25").select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("ord"))
     name = F.when(F.col("ord") == 0, F.upper("p_type")).when(F.col("ord") == 1, F.col("p_brand")).otherwise(F.concat(F.lower("p_type"), F.lit(" ")))
     place = F.when(F.col("ord") == 2, F.col("p_size").cast("double")).when(F.col("ord") == 1, 7.0)
     return p.select(F.col("p_partkey").alias("book"), "ord", name.alias("name"), place.alias("position"), F.lit(None).cast("double").alias("position_end"))
@@ -185,7 +185,7 @@ select series, book, position, position_end from shelf where book not in (select
 union all select series, book, position, null from e join new using (key)""",
 )
 def set_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memberships after dear books were given series by name."""
+    """Memberships after large books were given series by name."""
     return membership.set_for_books(_shelf(spark, sf_dir), _series(spark, sf_dir), _entries(spark, sf_dir))[0].select("series", "book", "position", "position_end")
 
 
