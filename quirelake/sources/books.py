@@ -21,7 +21,7 @@ from quirelake.functions import titles
 from quirelake.operators import assembly, markup, styles
 from quirelake.operators.assembly import Chapter, Entry, Section
 from quirelake.operators.markup import BLOCKS, HEADINGS, Context, Node, text_of
-from quirelake.sources import formats, plain
+from quirelake.sources import formats, mobi, plain
 
 # Fixed values.
 EXTENSIONS = "epub mobi prc azw azw3 kf8 pdf md markdown txt text".split()
@@ -129,7 +129,7 @@ def format_of(data: bytes, name: str) -> str | None:
     return next((k for k in ("epub", "mobi", "pdf", "md", "txt") if ext == k or ext in known.get(k, "").split()), "txt" if not ext else None)
 
 
-READERS: dict[str, Callable[[bytes], Book]] = {"epub": from_epub, "txt": from_text, "md": from_markdown}
+READERS: dict[str, Callable[[bytes], Book]] = {"epub": from_epub, "mobi": mobi.from_mobi, "txt": from_text, "md": from_markdown}
 
 
 def convert(data: bytes, name: str) -> Book:
@@ -151,6 +151,8 @@ def read_metadata(data: bytes, name: str) -> dict:
             opf = next(n for n in z.namelist() if n.lower().endswith(".opf"))
             found = formats.package_details(z.read(opf))
         meta = _details(**{k: found[k] for k in ("title", "author", "language", "isbns")}, series=[(s["name"], s["position"], s["position_end"]) for s in found["series"]])
+    elif kind == "mobi":
+        meta = _details() | mobi.read_metadata(data)
     elif kind == "md":
         matter, body = formats.front_matter(formats.decode_text(data))
         heading = re.search(r"^#\s+(.+)$", body, re.M)
