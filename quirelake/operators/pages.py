@@ -383,7 +383,7 @@ def chapter_titles(bodies: list[list[Block]]) -> list[tuple[int, int, str]]:
             at += len(b.text)
     ends = [f[2] for f in found[1:]] + [at]
     out = []
-    for j in sorted(chosen_titles([(a, e, t.lower()) for (_, _, a, t), e in zip(found, ends, strict=True)])):
+    for j in sorted(chosen_titles([(a, e, t.lower()) for (_, _, a, t), e in zip(found, ends)])):  # noqa: B905
         i, k, _, text = found[j]
         while k and bodies[i][k - 1].kind == "h":
             k -= 1
