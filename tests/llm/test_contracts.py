@@ -107,6 +107,25 @@ def test_clashing_and_extra_columns(spark, docs):
     assert len({c.lower() for c in out.columns}) == len(out.columns) and out.count() == len(DOCS)
 
 
+def test_columns_named_like_results_are_replaced_or_carried(spark, docs):
+    """Every operator that carries columns on, and those that look at two or three columns only."""
+    lower = lambda df: [c.lower() for c in df.columns]
+    out = bpe_coding.digest(docs.selectExpr("*", "'x' as N_TOKENS", "1 as decoded_sha256", "2 as more"))
+    assert len(set(lower(out))) == len(out.columns) and "more" in out.columns and out.count() == len(DOCS)
+    out = repeated_passages.remove_repeats(docs.selectExpr("*", "'x' as Kept_Text", "1 as n_removed", "2 as more"))
+    assert len(set(lower(out))) == len(out.columns) and "more" in out.columns and out.count() == len(DOCS)
+    more = docs.selectExpr("*", "1 as taken", "'x' as size", "2 as draws", "3 as hash")
+    assert source_mixing.mix(more, ["doc_id"]).columns == more.columns
+    p = source_mixing.plan(more, ["doc_id"], carry=["doc_id", "taken", "hash"])
+    assert lower(source_mixing.drawn(p, p.sized))[:2] == ["doc_id", "hash"]
+    more = docs.selectExpr("*", "1 as id", "2 as path", "'x' as sig", "3 as component_id", "4 as label")
+    assert sorted(map(repr, near_duplicates.groups(more).collect())) == sorted(map(repr, near_duplicates.groups(docs).collect()))
+    assert near_duplicates.keep_one(more).columns == more.columns
+    assert language_model.score(docs.selectExpr("*", "1 as train", "'x' as held_out", "2 as id"), *_folds()).count() == len(DOCS)
+    v = spark.createDataFrame([(1, [1.0, 0.0], 7, 8)], "vec_id long, embedding array<double>, list int, n_links int")
+    assert embedding_duplicates.link_vectors(v).first() == (1, 0, 1)
+
+
 def test_license_base(docs, empty):
     seq = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = by_row(license_scans.scan(docs.select("doc_id", "text")).drop("text", "detections"))
