@@ -395,6 +395,16 @@ def test_large_clusters_of_near_copies(spark):
     assert all(got[i] == 0 for i in range(450)) and all(got[1000 + i] == 1000 + i for i in range(5))
 
 
+def test_confirmed_links_spare_the_next_level(spark, monkeypatch):
+    # Copies with two words of their own are alike (0.7 to each other, 0.84 to the base), not close enough to be told at sight.
+    base, written, staged = [f"t{i}" for i in range(120)], [], near_duplicates.staged
+    monkeypatch.setattr(near_duplicates, "staged", lambda df, what="table": written.append(what) or staged(df, what))
+    rows = [(0, " ".join(base))] + [(1 + i, " ".join([*base[: 7 * i % 115], f"new{i}", *base[7 * i % 115 + 1 : 118], f"end{i}"])) for i in range(600)]
+    got = {r.id: r.component_id for r in near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(near_groups([rows[0], r])[r][1] == 0 for r in rows[1:]) and set(got.values()) == {0}
+    assert written.count("tiles") == 1 and "paths" not in written
+
+
 def test_nodes_of_equal_short_digests_are_all_compared(spark):
     # The 40-bit hashes of 237349's two texts have the same sum as those of 3168948's, and so on.
     heads = [237349, 3168948, 2327533, 2393449, 929873, 2480078]
