@@ -377,9 +377,15 @@ class Coder(dict):
         return b"".join([self.spelled[r] for r in runs])
 
 
-@lru_cache(4)
+@lru_cache(1)
+def _vocabulary(load) -> Vocabulary:
+    return Vocabulary(load())
+
+
+@lru_cache(1)
 def _coder(path: str, digest: str, load) -> Coder:
-    return Coder(Vocabulary(load()), Lexicon(path))
+    """The coder of a lexicon; one at a time, as workers live on, and all of a tokenizer share its vocabulary."""
+    return Coder(_vocabulary(load), Lexicon(path))
 
 
 class _Load:

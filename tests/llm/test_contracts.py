@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -245,6 +246,16 @@ def test_bpe_equals_the_library(docs, empty):
     assert all(r.decoded == (r.text or "") for r in bpe_coding.encode(docs).collect())
 
 
+def test_workers_keep_one_coder(tmp_path):
+    with open(bpe_coding.default_tokenizer(), "rb") as f:
+        spec = f.read()
+    coders = []
+    for name in ("a", "b"):
+        (tmp_path / name).write_bytes(bpe_coding.compile_lexicon([(b" ", [220])]))
+        coders.append(bpe_coding._coder(str(tmp_path / name), name, bpe_coding._Load(SimpleNamespace(value=spec), "d")))
+    assert coders[0].v is coders[1].v and bpe_coding._coder.cache_info().currsize == 1
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     v = bpe_coding.Vocabulary(open(bpe_coding.default_tokenizer(), "rb").read())
     ws = [w.encode() for w in ("walking", "talking", "balking", "walk", "talk", " the", " then")]
