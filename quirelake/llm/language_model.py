@@ -36,8 +36,8 @@ from ._kernel import ASCII_LOWER, U, mix, word_names, words
 from ._shared import fold, partitions, table
 
 #: Words of an n-gram, bytes of text in a chunk, and of texts that are packed together. Trigrams need more shuffle space
-#: than the scale check allows (README), so the registered query is of bigrams, as before.
-ORDER, CHUNK_BYTES, PIECE_BYTES = 2, 12 << 20, 1 << 20
+#: than the scale check allows (README).
+ORDER, CHUNK_BYTES, PIECE_BYTES = 3, 12 << 20, 1 << 20
 START, END = U(0x5354415254), U(0x454E44)
 _H = "__quirelake_"
 _SENT = "range int, chunk int, names binary, vals binary, more binary, share array<bigint>"

@@ -310,6 +310,15 @@ def _folds():
     return F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.crc32(F.col("doc_id").cast("string")) % 7 == 2
 
 
+def test_language_model_query_is_of_trigrams(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs, of = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.crc32(F.col("doc_id").cast("string")) % 7
+    scored = {r.id: r.score for r in language_model.score(docs, of != 2, of == 2, order=3).collect()}
+    got = {r.doc_id: r.score for r in language_model.op9_language_model(spark, sf_dir).collect()}
+    assert got.keys() == scored.keys() and all(math.isclose(got[i], scored[i], rel_tol=1e-9) for i in got)
+
+
 def test_language_model_edges(docs, empty):
     assert language_model.score(docs, *_folds()).count() == len(DOCS)
     assert language_model.score(empty, *_folds()).count() == 0
