@@ -12,8 +12,8 @@ The trees together meet a pair in a node of the first level with probability 1 -
 2. A larger node is a cluster of near copies, or texts that share a passage. It is cut into tiles that all hold the
    node's smallest class too, so one pass over the node finds a cluster's links. They are confirmed on full sets at
    once, which the first level computes for its candidates in one pass over the texts; classes of one component get
-   one label. Pairs of one label need no further comparison: a node whose members have one label is done, one that
-   has few pairs of different labels is a leaf, and only the others branch again.
+   one label, kept once a class. Pairs of one label need no further comparison: a node whose members have one label is
+   done, one that has REST pairs of different labels or fewer is a leaf, and only the others branch again.
 3. The full sets of all other candidates are computed in a second pass and written once. Links are confirmed on
    them, and the components of all confirmed links are the groups.
 
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ._kernel import ASCII_LOWER, U, _stream, mix, text_slices, window_names, word_names, words
 from ._shared import release, staged, table
-from .components import components
+from .components import components, joined
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, TREES, DEPTH, LEAF = 32, 10, 24, 200
@@ -48,6 +48,10 @@ COORDINATES, TREES, DEPTH, LEAF = 32, 10, 24, 200
 SKETCH = 10
 #: A node of up to WIDE classes is a leaf too, if it has at most WORK pairs of different labels.
 WIDE, WORK = 20 * LEAF, 4 * LEAF * LEAF
+#: One that has been tiled has lost its clusters' pairs where they are labelled; it may have more.
+REST = 100 * LEAF * LEAF
+#: Classes of a leaf that are compared with all others of it at a time.
+BLOCK = 512
 #: Large nodes are labelled anew when there is a new link for so many of their rows.
 PRUNE = 50
 
@@ -121,20 +125,6 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int, rest: Callable[[pa.Re
         yield rows
 
 
-def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Each node's smallest reachable node over the edges (a, b)."""
-    label = np.arange(n)
-    while a.size:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def _near(rows: list[tuple]) -> Iterator[tuple]:
     """From a node's rows (id, f1, label, tokens): groups of members that share tokens across labels, as rows (g, h, id, f1)."""
     sig = np.array([r[3] for r in rows], np.int32)
@@ -142,12 +132,14 @@ def _near(rows: list[tuple]) -> Iterator[tuple]:
     own = np.flatnonzero(label != count.argmax()) if count.max() > 1 else np.arange(len(rows))
     if not own.size:
         return
-    same = np.zeros((own.size, len(rows)), np.int8)
-    for c in sig.T:
-        same += c[own][:, None] == c[None, :]
-    same[label[own][:, None] == label[None, :]] = 0
-    a, b = np.nonzero(same >= SKETCH)
-    group = _joined(len(rows), own[a], b)
+    group = np.arange(len(rows))
+    for part in np.array_split(own, -(-own.size // BLOCK)):
+        same = np.zeros((part.size, len(rows)), np.int8)
+        for c in sig.T:
+            same += c[part][:, None] == c[None, :]
+        same[label[part][:, None] == label[None, :]] = 0
+        a, b = np.nonzero(same >= SKETCH)
+        group = joined(len(rows), np.concatenate([part[a], np.arange(len(rows))]), np.concatenate([b, group]))
     order = np.argsort(group, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
         if part.size > 1:
@@ -158,7 +150,7 @@ def _near(rows: list[tuple]) -> Iterator[tuple]:
 
 
 def _screened(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Candidate groups of the nodes in rows (path, id, f1, label)."""
+    """Candidate groups of the nodes in rows (path, id, f1), under the labels in sigs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rest(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -177,7 +169,7 @@ def _screened(rows: DataFrame, sigs: DataFrame) -> DataFrame:
     def _batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["g", "h", "id", "f1"])
 
-    with_sig = rows.join(sigs.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("f1") == F.col("_f"))).select("path", "id", "f1", "label", "sig")
+    with_sig = _with(rows.select("path", "id", "f1"), sigs).select("path", "id", "f1", "label", "sig")
     return with_sig.repartition("path").sortWithinPartitions("path", "id", "f1").mapInArrow(run, "g bigint, h bigint, id bigint, f1 bigint")
 
 
@@ -258,8 +250,14 @@ def _nodes(rows: DataFrame, labelled: bool) -> DataFrame:
     return rows.join(sizes.where("work > 0").hint("merge"), F.col("path") == F.col("_p")).drop("_p")
 
 
-def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "label")).drop("node", "component")
+def _with(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows with what is known of their classes (_id, _f, ...)."""
+    return rows.join(classes.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("f1") == F.col("_f"))).drop("_id", "_f")
+
+
+def _labelled(sigs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Classes under new labels: one row a class, however many nodes it is in."""
+    return sigs.join(labels.hint("merge"), F.col("_id") == F.col("node"), "left").select("_id", "_f", F.coalesce("component", "label").alias("label"), "sig")
 
 
 def _tiles(large: DataFrame) -> DataFrame:
@@ -267,16 +265,16 @@ def _tiles(large: DataFrame) -> DataFrame:
     reps = large.groupBy(F.col("path").alias("_p")).agg(F.min(F.struct("id", "f1")).alias("rep"), F.ceil(F.count("*") / LEAF).cast("int").alias("tiles"))
     rows = large.join(reps.hint("merge"), F.col("path") == F.col("_p"))
     name = lambda tile: F.xxhash64("rep.id", "rep.f1", "tiles", tile).alias("path")
-    own = rows.select(name(F.pmod(F.xxhash64("id", "f1", "rep.id"), F.col("tiles")).cast("int")), "id", "f1", "label")
+    own = rows.select(name(F.pmod(F.xxhash64("id", "f1", "rep.id"), F.col("tiles")).cast("int")), "id", "f1")
     again = reps.select("rep", "tiles").distinct().select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
-    return own.union(again.select(name(F.col("t")), "rep.id", "rep.f1", F.col("rep.id").alias("label"))).distinct()
+    return own.union(again.select(name(F.col("t")), "rep.id", "rep.f1")).distinct()
 
 
 def _tile_pairs(large: DataFrame) -> DataFrame:
     """The rows of large nodes in all pairs of their tiles: the exact way for nodes that branching does not part."""
     rows = large.withColumn("tiles", F.ceil(F.col("size") / LEAF).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id", "f1"), F.col("tiles")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
-    return rows.select(F.xxhash64("path", F.least("tile", "t"), F.greatest("tile", "t")).alias("path"), "id", "f1", "label")
+    return rows.select(F.xxhash64("path", F.least("tile", "t"), F.greatest("tile", "t")).alias("path"), "id", "f1")
 
 
 def _once(leaves: DataFrame) -> DataFrame:
@@ -289,8 +287,8 @@ def _once(leaves: DataFrame) -> DataFrame:
 def _descend(rows: DataFrame, sigs: DataFrame, link: Callable[[DataFrame], DataFrame]) -> tuple[list[DataFrame], list[DataFrame]]:
     """Candidate groups that are to be confirmed, and links that are; link() confirms a level's tiles."""
     found, leaves, fresh, labels = [], [], [], None
-    rows = rows.withColumn("label", F.col("id"))
-    known, small = ["path", "id", "f1", "label"], (F.col("size") <= LEAF) | ((F.col("work") <= WORK) & (F.col("size") <= WIDE))
+    known, small = ["path", "id", "f1"], (F.col("size") <= LEAF) | ((F.col("work") <= WORK) & (F.col("size") <= WIDE))
+    rest = small | ((F.col("work") <= REST) & (F.col("size") <= WIDE))
     for depth in range(1, DEPTH + 1):
         members = staged(_nodes(rows, labels is not None), "members")
         leaves.append(members.where(small).select(known))
@@ -307,17 +305,16 @@ def _descend(rows: DataFrame, sigs: DataFrame, link: Callable[[DataFrame], DataF
             fresh.append(link(tiles))
             if PRUNE * _all(fresh).count() >= large.count():  # fewer links would not spare what it costs to label
                 labels, fresh = components(_all(fresh if labels is None else [_links(labels), *fresh])), []
-                large = staged(_nodes(staged(_relabelled(large.select(known), labels), "labelled"), True), "members")
-                leaves.append(large.where(small).select(known))
-                large = large.where(~small)
-                if large.isEmpty():
-                    break
-        again = large.join(sigs.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("f1") == F.col("_f")))
-        rows = staged(again.select("id", "f1", "label", F.explode(_branches(F.col("path"), F.col("sig"))).alias("path")).select(known), "paths")
-    every = _all(leaves)
-    if labels is not None:  # leaves of earlier levels have pairs that a later one has linked
-        every = _nodes(_relabelled(every, labels), True).select(known)
-    found.append(staged(_screened(_once(every), sigs), "leaves"))
+                sigs = staged(_labelled(sigs, labels), "sigs")
+                large = staged(_nodes(staged(_with(large.select(known), sigs.drop("sig")), "labelled"), True), "members")
+            leaves.append(large.where(rest).select(known))
+            large = large.where(~rest)
+            if large.isEmpty():
+                break
+        again = _with(large.select(known), sigs)
+        rows = staged(again.select(F.explode(_branches(F.col("path"), F.col("sig"))).alias("path"), "id", "f1", "label"), "paths")
+    # leaves of earlier levels have pairs that a later one has linked: all are compared under the last labels
+    found.append(staged(_screened(_once(_all(leaves)), sigs), "leaves"))
     return found, [*([] if labels is None else [_links(labels)]), *fresh]
 
 
@@ -339,7 +336,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     full = sketches.where("n > 0 and id is not null")
     classes = staged(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
     same_id = classes.groupBy("id").count().where("count > 1").isEmpty()
-    sigs = classes.select(F.col("id").alias("_id"), F.col("f1").alias("_f"), "sig")
+    sigs = classes.select(F.col("id").alias("_id"), F.col("f1").alias("_f"), F.col("id").alias("label"), "sig")
 
     sets: list[DataFrame] = []
 

@@ -425,6 +425,18 @@ def test_confirmed_links_spare_the_next_level(spark, monkeypatch):
     assert written.count("tiles") == 1 and "paths" not in written
 
 
+def test_labels_are_joined_once_a_class(spark, monkeypatch):
+    # Texts that share a passage and link with few others: one node in many trees, whose rest is compared at the first level.
+    base, written, staged = [f"t{i}" for i in range(60)], [], near_duplicates.staged
+    monkeypatch.setattr(near_duplicates, "staged", lambda df, what="table": written.append((what, df.count())) or staged(df, what))
+    rows = [(i, " ".join([*base, *(f"u{i // 2}_{k}" for k in range(40)), f"end{i}"])) for i in range(800)]
+    got = {r.id: r.component_id for r in near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(800)}
+    names = [w for w, _ in written]
+    assert "paths" not in names and names.count("tiles") == 1
+    assert [n for w, n in written if w == "sigs"] == [800]
+
+
 def test_nodes_of_equal_short_digests_are_all_compared(spark):
     # The 40-bit hashes of 237349's two texts have the same sum as those of 3168948's, and so on.
     heads = [237349, 3168948, 2327533, 2393449, 929873, 2480078]
@@ -438,6 +450,17 @@ def test_components(spark):
     assert {r.node: r.component for r in components.components(links).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5}
 
 
+def test_components_in_one_task_equal_those_of_spark(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(300)] + [(i * 7 % 997 + 1000, i * 31 % 997 + 1000) for i in range(400)]
+    links, rounds, of_graph = spark.createDataFrame(chain, "a long, b long"), [], components.graph.components
+    monkeypatch.setattr(components.graph, "components", lambda df: rounds.append(1) or of_graph(df))
+    one = {r.node: r.component for r in components.components(links).collect()}
+    assert not rounds and components.components(links.limit(0)).count() == 0
+    monkeypatch.setattr(components, "ONE_TASK", 10)
+    assert {r.node: r.component for r in components.components(links).collect()} == one and rounds
+    assert all(one[i] == 0 for i in range(301))
+
+
 def removed_words(rows, k=35):
     seqs = [words(t) for _, t, *_ in rows]
     count = Counter(tuple(w[i : i + k]) for w in seqs for i in range(len(w) - k + 1))
