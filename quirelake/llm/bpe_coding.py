@@ -76,6 +76,7 @@ class Vocabulary:
             self.merged.append(self.ids[a + b])
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.bytes_of = {i: t for t, i in self.ids.items()} | {i: s.encode() for s, i in special.items()}
+        self.written = {i: str(i) for i in self.bytes_of}
         self.special = special
         self.splitter = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self._pair_table()
@@ -302,6 +303,8 @@ class Lexicon:
             at += 4 * n
         self.first, self.target, self.skip, self.offs, self.ids = out
         self.label_at, self.final = at, view[at + lens[5] : at + lens[5] + lens[6]]
+        source = np.repeat(np.arange(lens[6], dtype=np.int64), np.diff(np.frombuffer(self.first, np.uint32)))
+        self.edges = source << 8 | np.frombuffer(view[at : at + lens[5]], np.uint8)  # sorted: by state, then by byte
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of a word of the lexicon, else None."""
@@ -316,6 +319,27 @@ class Lexicon:
             state = self.target[e - at]
         return list(self.ids[self.offs[rank] : self.offs[rank + 1]]) if self.final[state] else None
 
+    def get_many(self, words: list[bytes]) -> list[list[int] | None]:
+        """get() of many words, in lockstep."""
+        out: list = [None] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        buf, at = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        skip, target, final = np.frombuffer(self.skip, np.uint32), np.frombuffer(self.target, np.uint32), np.frombuffer(self.final, np.uint8)
+        left, state, rank, step = np.arange(size.size), np.full(size.size, self.root, np.int64), np.zeros(size.size, np.int64), 0
+        while left.size:
+            ends = size[left] == step
+            hit = ends & (final[state] > 0)
+            for i, r in zip(left[hit].tolist(), rank[hit].tolist(), strict=True):
+                out[i] = list(self.ids[self.offs[r] : self.offs[r + 1]])
+            left, state, rank = left[~ends], state[~ends], rank[~ends]
+            key = state << 8 | buf[at[left] + step]
+            e = np.searchsorted(self.edges, key)
+            e[e == self.edges.size] = 0
+            on = self.edges[e] == key if self.edges.size else np.zeros(key.size, bool)
+            left, state, rank = left[on], target[e[on]].astype(np.int64), rank[on] + skip[e[on]]
+            step += 1
+        return out
+
 
 # -- coding -----------------------------------------------------------------------------------------------------
 
@@ -333,20 +357,18 @@ class Coder(dict):
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words: special ones, the lexicon's, and the rest merged."""
-        unseen, found = [], []
-        for w in words:
-            raw = w.encode()
-            ids = [self.v.special[w]] if w in self.v.special else self.lexicon.get(raw) if self.lexicon else None
-            if ids is None:
-                unseen.append((w, raw))
-            else:
-                found.append((w, ids))
-        found += zip([w for w, _ in unseen], self.v.merge_many([raw for _, raw in unseen]), strict=True)
-        spell = self.v.bytes_of
-        for w, ids in found:
-            out = ",".join(map(str, ids))
-            self[w] = out
-            self.spelled[out] = b"".join([spell[i] for i in ids])
+        raw = [w.encode() for w in words]
+        found = self.lexicon.get_many(raw) if self.lexicon else [None] * len(words)
+        for i, w in enumerate(words if self.v.special else ()):
+            if w in self.v.special:
+                found[i] = [self.v.special[w]]
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(unseen, self.v.merge_many([raw[i] for i in unseen]), strict=True):
+            found[i] = ids
+        spell, written, spelled = self.v.bytes_of, self.v.written, self.spelled
+        for w, ids in zip(words, found, strict=True):
+            self[w] = out = ",".join([written[i] for i in ids])
+            spelled[out] = b"".join([spell[i] for i in ids])
 
     def _words(self, text: str) -> list[str]:
         if self.v.splitter is None or not self.v.splitter.search(text):
@@ -368,13 +390,12 @@ class Coder(dict):
                 i += 1
             if len(self) > MEMO_WORDS:
                 self.forget()
-            new = {w for ws in split for w in ws if w not in self}
-            self._learn(list(new))
+            self._learn(list(set().union(*split).difference(self)))
             for ws in split:
-                yield [self[w] for w in ws]
+                yield list(map(self.__getitem__, ws))
 
     def decode(self, runs: list[str]) -> bytes:
-        return b"".join([self.spelled[r] for r in runs])
+        return b"".join(map(self.spelled.__getitem__, runs))
 
 
 @lru_cache(1)

@@ -268,6 +268,19 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
     assert v.merge(long) == v._merge_long([v.single[b] for b in long]) and v.merge_many(ws) == [v.merge(w) for w in ws]
 
 
+def test_lexicon_looks_many_words_up_at_once(tmp_path):
+    words = [b"a", b"ab", b"abc", b"b", b" b", "é".encode(), b"xabc"]
+    (tmp_path / "x.lex").write_bytes(bpe_coding.compile_lexicon([(w, [i, i + 1]) for i, w in enumerate(words)]))
+    lexicon, asked = bpe_coding.Lexicon(str(tmp_path / "x.lex")), [*words, b"", b"abcd", b"\xc3", b"zz", b"xab", b"ab", b"\xff" * 300]
+    assert lexicon.get_many(asked) == [lexicon.get(w) for w in asked] and lexicon.get_many([]) == []
+    assert lexicon.get_many(words) == [[i, i + 1] for i in range(len(words))]
+    calls, one = [], bpe_coding.Lexicon.get
+    v = bpe_coding.Vocabulary(open(bpe_coding.default_tokenizer(), "rb").read())
+    coder = bpe_coding.Coder(v, lexicon)
+    lexicon.get = lambda w: calls.append(w) or one(lexicon, w)
+    assert [list(runs) for runs in coder.encode_many(["ab abc", ""])] == [["1,2", coder[" abc"]], []] and not calls
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_language_model_equals_brute_force(spark, order):
     rows = [(i, t) for i, t, *_ in DOCS if i not in (None, 15)]
