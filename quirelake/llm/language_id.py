@@ -3,13 +3,16 @@
 A text's features are the byte n-grams of its lower-cased UTF-8 form, with every run of non-letters read as one
 kind of space. Each n-gram hashes to a bucket with an embedding; a text is the average of its n-grams' embeddings,
 and a linear softmax over that average gives the language. Both layers are trained together in numpy by
-stochastic gradient descent, on the driver, from a bounded sample of labelled rows (SAMPLE_ROWS, drawn evenly over
-the languages); executors reduce the sampled texts, whole, to bucket counts before they are sent.
+stochastic gradient descent, in two steps. The driver makes a start from a bounded sample of labelled rows
+(SAMPLE_ROWS, drawn evenly over the languages, reduced to bucket counts before they are sent). From there learners, one
+for some LEARNER_BYTES of text, go once over all labelled rows, batch by batch in mixed order; the model is the mean of
+the learners, weighted by their rows and summed in Spark, block by block.
 
-Calibration uses other labelled rows (CALIBRATION_ROWS at most), of which only logits are sent, and as texts of no
-language the same rows with their bytes shuffled. A temperature is fitted on the rows. A text whose calibrated
-score is below the threshold is not accepted: the threshold rejects REJECT_SHARE of the calibration rows at most, and
-is no higher than it takes to reject NOISE_SHARE of the shuffled ones.
+Calibration uses all labelled rows that the start has not learned from: each is judged by its learner before it is
+learned from, and as a text of no language once more with its bytes shuffled. The logits stay in the shared folder; sums
+of losses and counts of scores (BINS) come to the driver. A temperature is fitted on the rows. A text whose calibrated
+score is below the threshold is not accepted: the threshold rejects REJECT_SHARE of these rows at most, and
+is no higher than it takes to reject NOISE_SHARE of the shuffled ones. Reruns over the same files agree.
 
 As both layers are linear, prediction sums one row of logits per n-gram, over whole texts, in numpy, a piece of a
 text at a time: memory is bounded whatever the length of a text.
@@ -27,16 +30,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._kernel import U, mix, text_slices
-from ._shared import appended, fold, table, without
-
-#: Bounds of the fit: labelled rows to learn from and to calibrate on, hash buckets (a power of two) and embedding
-#: width; only the MAX_LABELS most frequent labels are learned.
-SAMPLE_ROWS, CALIBRATION_ROWS, BUCKETS_LOG2, WIDTH, MAX_LABELS = 1500, 4000, 15, 12, 1000
+from ._shared import appended, fold, release, staged, table, without
+
+#: Labelled rows of the start, hash buckets (a power of two) and embedding width; only the MAX_LABELS most frequent
+#: labels are learned.
+SAMPLE_ROWS, BUCKETS_LOG2, WIDTH, MAX_LABELS = 1500, 15, 12, 1000
+#: Text of a learner, the least number of learners, their rate, and blocks that their weights are summed in.
+LEARNER_BYTES, LEARNERS, RATE, BLOCKS = 32 << 20, 8, 0.4, 64
+#: Steps of scores that calibration counts.
+BINS = 1 << 16
 SIZES = (1, 2, 3, 4)
 REJECT_SHARE, NOISE_SHARE = 0.001, 0.99
 #: Places of a text whose n-grams are held at a time.
@@ -108,96 +116,164 @@ class LanguageModel:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def _train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_labels: int, log2: int, width: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Embeddings times output weights, and the bias; plain SGD, text by text, with a falling rate."""
+def _step(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, b: np.ndarray, c: np.ndarray, y: int, step: float) -> np.ndarray:
+    """Learn one text; its logits before."""
+    rows = emb[b]
+    v = c @ rows
+    z = v @ out + bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    p[y] -= 1
+    back = out @ p
+    out -= step * np.outer(v, p)
+    bias -= 0.01 * step * p
+    emb[b] = rows - step * c[:, None] * back
+    return z
+
+
+def _train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_labels: int, log2: int, width: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, output weights and the bias; plain SGD, text by text, with a falling rate."""
     rng = np.random.default_rng(seed)
     emb = (rng.random((1 << log2, width)) - 0.5) / width
     out, bias = np.zeros((width, n_labels)), np.zeros(n_labels)
     steps, done = epochs * len(x), 0
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
-            step = rate * (1 - done / steps)
-            b, c = x[i]
-            v = c @ emb[b]
-            z = v @ out + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y[i]] -= 1
-            back = out @ p
-            out -= step * np.outer(v, p)
-            bias -= 0.01 * step * p
-            emb[b] -= step * c[:, None] * back
+            _step(emb, out, bias, *x[i], y[i], rate * (1 - done / steps))
             done += 1
-    return (emb @ out).astype(np.float32), bias
+    return emb, out, bias
+
+
+def _counted(buf: np.ndarray, offs: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of one text, and how often it has them."""
+    counts = np.zeros(1 << log2, np.int64)
+    for _, _, b, start, end in _pieces(*_shown(buf, offs), log2):
+        counts += np.bincount(b[start[0] : end[0]], minlength=1 << log2)
+    b = np.flatnonzero(counts)
+    return b.astype(np.int32), counts[b].astype(np.float32)
 
 
-def _drawn(df: DataFrame, shares: dict[str, tuple[float, float]], text: str, label: str, key: str, seed: int) -> DataFrame:
-    """Rows (t, y, k) whose hash of the key lies in the share [from, to) of their label."""
-    part = F.shiftrightunsigned("k", 44) / F.lit(float(1 << 20))
-    lower, upper = (F.create_map(*[F.lit(x) for y, s in shares.items() for x in (y, s[i])]) for i in (0, 1))
-    rows = df.select(F.col(f"`{text}`").alias("t"), F.col(f"`{label}`").cast("string").alias("y"), F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string")).alias("k"))
-    return rows.where(F.col("t").isNotNull() & F.col("y").isNotNull()).where((part >= F.element_at(lower, F.col("y"))) & (part < F.element_at(upper, F.col("y"))))
+_LEARNED = "part int, block int, n double, weights binary, y binary, z binary, noise binary"
+
+
+def _learned(rows: DataFrame, start: tuple[np.ndarray, ...], labels: list[str], log2: int) -> DataFrame:
+    """One pass of SGD over rows (t, y, k, judged): each learner's weights by block, and logits of what it judged first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.float64()), *((c, pa.binary()) for c in ("weights", "y", "z", "noise"))])
+        part, at, n = TaskContext.get().partitionId(), {y: i for i, y in enumerate(labels)}, 0
+        emb, out, bias = (np.array(w, np.float64) for w in start)
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                some, told = batch.slice(a, ROWS), []
+                truth, key, judged = (some.column(i).to_pylist() for i in (1, 2, 3))
+                for i in np.random.default_rng([part, n]).permutation(some.num_rows):
+                    text = pc.utf8_lower(some.column(0).slice(i, 1).cast(pa.large_string()))
+                    for _, _, buf, offs in text_slices(text, 1):
+                        b, c = _counted(buf, offs, log2)
+                        c = c / max(np.float32(1), c.sum())
+                        y = at[truth[i]]
+                        if judged[i]:
+                            nb, nc = _counted(np.random.default_rng(key[i] & 0xFFFFFFFF).permutation(buf), offs, log2)
+                            noise = nc / max(np.float32(1), nc.sum()) @ emb[nb] @ out + bias
+                        z = _step(emb, out, bias, b, c, y, RATE)
+                        if judged[i]:
+                            told.append((y, z, noise))
+                    n += 1
+                if told:
+                    y, z, noise = (np.array(x) for x in zip(*told, strict=True))
+                    yield pa.RecordBatch.from_pylist([{"part": part, "block": -1, "y": y.astype(np.int32).tobytes(), "z": z.astype(np.float32).tobytes(), "noise": noise.astype(np.float32).tobytes()}], schema)
+        if n:
+            flat = np.concatenate([emb.ravel(), out.ravel(), bias]) * n
+            yield pa.RecordBatch.from_pylist([{"part": part, "block": k, "n": float(n), "weights": w.tobytes()} for k, w in enumerate(np.array_split(flat, BLOCKS))], schema)
+
+    return rows.mapInArrow(run, _LEARNED)
+
+
+def _mean(learned: DataFrame, start: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The learners' weighted mean."""
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        total = np.sum([np.frombuffer(w, np.float64) for w in t["weights"].to_pylist()], axis=0)
+        return pa.table({"part": t["part"][:1], "block": t["block"][:1], "n": pa.array([float(np.sum(t["n"].to_numpy()))]), "weights": pa.array([total.tobytes()], pa.binary())})
+
+    shape, some = "part int, block int, n double, weights binary", learned.where("block >= 0").select("part", "block", "n", "weights")
+    few = some.groupBy("block", F.floor(F.col("part") / 256)).applyInArrow(lambda key, t: add(t), shape)
+    rows = few.groupBy("block").applyInArrow(add, shape).orderBy("block").collect()
+    flat, out, at = np.concatenate([np.frombuffer(r["weights"], np.float64) / r["n"] for r in rows]), [], 0
+    for w in start:
+        out.append(flat[at : at + w.size].reshape(w.shape))
+        at += w.size
+    return tuple(out)
+
+
+def _calibrate(model: LanguageModel, learned: DataFrame) -> None:
+    """Fit the temperature and the threshold on all judged rows."""
+    told, width, grid = learned.where("block < 0").select("y", "z", "noise"), len(model.labels), np.geomspace(0.1, 20, 60)
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for y, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                y, z = np.frombuffer(y, np.int32), np.frombuffer(z, np.float32).reshape(-1, width)
+                of = [-np.sum(np.log(LanguageModel(model.labels, model.logits, model.bias, t).calibrated(z)[np.arange(y.size), y] + 1e-12)) for t in grid]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(grid.size)), pa.array(np.round(np.array(of) * 2**20).astype(np.int64))], ["k", "loss"])
+
+    found = {r["k"]: r["loss"] for r in told.mapInArrow(losses, "k bigint, loss bigint").groupBy("k").agg(F.sum("loss").alias("loss")).collect()}
+    model.temperature = float(grid[min(range(grid.size), key=lambda k: found[k])])
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind in (1, 2):
+                z = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for x in batch.column(kind).to_pylist())]).reshape(-1, width)
+                at, n = np.unique(np.minimum(model.calibrated(z).max(axis=1) * BINS, BINS - 1).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(at.size, kind)), pa.array(at), pa.array(n)], ["kind", "bin", "n"])
+
+    counts = np.zeros((3, BINS), np.int64)
+    for r in told.mapInArrow(tops, "kind bigint, bin bigint, n bigint").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["kind"], r["bin"]] = r["n"]
+    below = np.cumsum(counts, axis=1)
+    low = int(np.searchsorted(below[1], int(REJECT_SHARE * below[1][-1]), "right"))
+    high = int(np.searchsorted(below[2], NOISE_SHARE * below[2][-1], "left")) + 1
+    model.threshold = min(low, high) / BINS
 
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, log2: int = BUCKETS_LOG2, width: int = WIDTH, epochs: int = 10, rate: float = 4.0, seed: int = 1) -> LanguageModel:
-    """Learn from about `rows` of the labelled rows of df, drawn by a hash of the key, so reruns agree.
+    """Learn from all labelled rows of df, after a start from about `rows` of them, drawn by a hash of the key.
 
-    Labels share the rows evenly; a rare label gives all it has. Rows after these in the order of the hash calibrate.
+    Labels share the rows of the start evenly; a rare label gives four fifths of what it has.
     """
-    counts = df.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{label}`").cast("string").alias("y")).count()
-    counts = {r["y"]: r["count"] for r in counts.orderBy(F.desc("count"), "y").limit(MAX_LABELS).collect()}
+    labelled = df.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{label}`").isNotNull()).select(F.col(f"`{text}`").alias("t"), F.col(f"`{label}`").cast("string").alias("y"), F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string")).alias("k"))
+    counts = labelled.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("bytes")).orderBy(F.desc("n"), "y").limit(MAX_LABELS).collect()
     if not counts:
         return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros(0))
-    labels = sorted(counts)
-    learn, check = {}, {}
-    for y, n in counts.items():
-        top = min(0.8, rows / len(labels) / n)
-        learn[y], check[y] = (0.0, top), (top, min(1.0, top + CALIBRATION_ROWS / len(labels) / n))
+    labels = sorted(r["y"] for r in counts)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["y"], min(0.8, rows / len(labels) / r["n"]))])
+    labelled = labelled.withColumn("first", F.shiftrightunsigned("k", 44) / F.lit(float(1 << 20)) < F.element_at(share, F.col("y"))).where("first is not null")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for _, _, buf, offs in text_slices(pc.utf8_lower(batch.column(0)), 1):
-                counts = np.zeros(1 << log2, np.int64)
-                for _, _, b, start, end in _pieces(*_shown(buf, offs), log2):
-                    counts += np.bincount(b[start[0] : end[0]], minlength=1 << log2)
-                b = np.flatnonzero(counts)
-                found.append((b.astype(np.int32).tobytes(), counts[b].astype(np.float32).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array([f[i] for f in found], pa.binary()) for i in (0, 1))], ["y", "k", "b", "c"])
-
-    sample = _drawn(df, learn, text, label, key, seed).limit(2 * rows + len(labels))
+            found = [_counted(buf, offs, log2) for i in range(batch.num_rows) for _, _, buf, offs in text_slices(pc.utf8_lower(batch.column(0).slice(i, 1).cast(pa.large_string())), 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1))], ["y", "k", "b", "c"])
+
+    sample = labelled.where("first").select("t", "y", "k").limit(2 * rows + len(labels))
     got = sample.mapInArrow(reduce, "y string, k bigint, b binary, c binary").toArrow().sort_by([("k", "ascending"), ("b", "ascending")])
     x = []
-    for b, c in zip(got["b"].to_pylist(), got["c"].to_pylist(), strict=True):
-        counts = np.frombuffer(c, np.float32)
-        x.append((np.frombuffer(b, np.int32), counts / max(np.float32(1), counts.sum())))
-    y = np.array([labels.index(n) for n in got["y"].to_pylist()])
-    if not x:
-        return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros(0))
-    logits, bias = _train(x, y, len(labels), log2, width, epochs, rate, seed)
-    model = LanguageModel(labels, logits, bias)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, _, buf, offs in text_slices(pc.utf8_lower(batch.column(0)), 1):
-                noise = np.random.default_rng(batch.column(2)[i].as_py() & 0xFFFFFFFF).permutation(buf)
-                out.append((model.of_bytes(buf, offs, log2)[0].tolist(), model.of_bytes(noise, offs, log2)[0].tolist()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([o[i] for o in out], pa.list_(pa.float64())) for i in (0, 1))], ["y", "z", "noise"])
-
-    told = _drawn(df.where(has_letter(F.col(f"`{text}`"))), check, text, label, key, seed).limit(2 * CALIBRATION_ROWS).mapInArrow(judge, "y string, z array<double>, noise array<double>").toArrow()
-    if told.num_rows:
-        raw, noise = (np.array(told[c].to_pylist()) for c in ("z", "noise"))
-        truth = np.array([labels.index(n) for n in told["y"].to_pylist()])
-    else:  # every labelled row was learned from
-        raw, truth = np.array([c @ logits[b] + bias for b, c in x]), y
-        noise = raw[:0]
-    loss = lambda t: -np.mean(np.log(LanguageModel(labels, logits, bias, t).calibrated(raw)[np.arange(len(truth)), truth] + 1e-12))
-    model.temperature = float(min(np.geomspace(0.1, 20, 60), key=loss))
-    top = np.sort(model.calibrated(raw).max(axis=1))
-    model.threshold = float(top[int(REJECT_SHARE * len(top))])
-    if len(noise):
-        model.threshold = min(model.threshold, float(np.quantile(model.calibrated(noise).max(axis=1), NOISE_SHARE)))
+    for b, c in zip(got["b"], got["c"], strict=True):
+        counted = np.frombuffer(c.as_buffer(), np.float32)
+        x.append((np.frombuffer(b.as_buffer(), np.int32), counted / max(np.float32(1), counted.sum())))
+    start = _train(x, np.array([labels.index(n) for n in got["y"].to_pylist()]), len(labels), log2, width, epochs, rate, seed)
+
+    learners = max(LEARNERS, -(-sum(r["bytes"] for r in counts) // LEARNER_BYTES))
+    judged = has_letter(F.col("t"))
+    if len(x) < sum(r["n"] for r in counts):  # else every labelled row was learned from
+        judged = judged & ~F.col("first")
+    learned = staged(_learned(labelled.select("t", "y", "k", judged.alias("judged")).coalesce(learners), start, labels, log2), "learned")
+    emb, out, bias = _mean(learned, start)
+    model = LanguageModel(labels, (emb @ out).astype(np.float32), bias)
+    if not learned.where("block < 0").isEmpty():
+        _calibrate(model, learned)
+    release(learned)
     return model
 
 

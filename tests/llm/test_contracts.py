@@ -170,6 +170,28 @@ def test_language(spark, sf_dir, docs, empty):
         assert zlib.crc32(str(r.doc_id).encode()) % 4 == 2
 
 
+def test_language_is_learned_from_all_labelled_rows(spark, monkeypatch):
+    # The start is of some ten rows; words that only other rows have tell the languages, and all others calibrate.
+    rng, judged, calibrate = np.random.default_rng(7), [], language_id._calibrate
+    heard = {y: ["".join(rng.choice(list(letters), 6)) for _ in range(200)] for y, letters in (("aa", "abcdefgh"), ("bb", "efghijkl"))}
+    rows = [(i, " ".join(rng.choice(heard[y], 8)), y) for i, y in enumerate(["aa", "bb"] * 400)] + [(900, None, "aa"), (901, "abc", None), (902, "123", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+
+    def seen(model, learned):
+        judged.extend(len(np.frombuffer(r.y, np.int32)) for r in learned.where("block < 0").collect())
+        learners = learned.where("block = 0").collect()
+        assert sum(r.n for r in learners) == 801 and len(learners) > 1
+        calibrate(model, learned)
+
+    monkeypatch.setattr(language_id, "_calibrate", seen)
+    model = language_id.fit(df, rows=10)
+    assert 780 <= sum(judged) < 800 and 0 < model.threshold < 1
+    again = language_id.fit(df, rows=10)
+    assert (again.logits == model.logits).all() and again.threshold == model.threshold
+    got = language_id.identify(df.where("doc_id < 800"), model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
+
+
 @pytest.mark.parametrize(
     "url, host, path, rule",
     [
