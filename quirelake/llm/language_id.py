@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._kernel import U, mix, text_slices
+from ._kernel import U, mix, text_slices, trimmed
 from ._shared import appended, fold, release, staged, table, without
 
 #: Labelled rows of the start, hash buckets (a power of two) and embedding width; only the MAX_LABELS most frequent
@@ -187,7 +187,7 @@ def _learned(rows: DataFrame, start: tuple[np.ndarray, ...], labels: list[str],
             flat = np.concatenate([emb.ravel(), out.ravel(), bias]) * n
             yield pa.RecordBatch.from_pylist([{"part": part, "block": k, "n": float(n), "weights": w.tobytes()} for k, w in enumerate(np.array_split(flat, BLOCKS))], schema)
 
-    return rows.mapInArrow(run, _LEARNED)
+    return rows.mapInArrow(trimmed(run), _LEARNED)
 
 
 def _mean(learned: DataFrame, start: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -304,7 +304,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
             ok = (said != UNKNOWN) & (score >= model.threshold)
             yield appended(batch, {"lang_pred": pa.array(said.tolist(), pa.string()), "score": pa.array(score), "accepted": pa.array(ok.astype(bool))})
 
-    return df.withColumn(flag, has_letter(F.col(f"`{text}`"))).mapInArrow(run, schema)
+    return df.withColumn(flag, has_letter(F.col(f"`{text}`"))).mapInArrow(trimmed(run), schema)
 
 
 def held_out(key: Column) -> Column:

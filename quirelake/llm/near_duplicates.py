@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._kernel import ASCII_LOWER, U, _stream, mix, text_slices, window_names, word_names, words
+from ._kernel import ASCII_LOWER, U, _stream, mix, text_slices, trimmed, window_names, word_names, words
 from ._shared import release, staged, table
 from .components import components, joined
 
@@ -50,8 +50,8 @@ SKETCH = 10
 WIDE, WORK = 20 * LEAF, 4 * LEAF * LEAF
 #: One that has been tiled has lost its clusters' pairs where they are labelled; it may have more.
 REST = 100 * LEAF * LEAF
-#: Classes of a leaf that are compared with all others of it at a time.
-BLOCK = 512
+#: Pairs of a leaf that are compared at a time.
+BLOCK = 1 << 18
 #: Large nodes are labelled anew when there is a new link for so many of their rows.
 PRUNE = 50
 
@@ -133,7 +133,7 @@ def _near(rows: list[tuple]) -> Iterator[tuple]:
     if not own.size:
         return
     group = np.arange(len(rows))
-    for part in np.array_split(own, -(-own.size // BLOCK)):
+    for part in np.array_split(own, -(-own.size * len(rows) // BLOCK)):
         same = np.zeros((part.size, len(rows)), np.int8)
         for c in sig.T:
             same += c[part][:, None] == c[None, :]
@@ -170,7 +170,7 @@ def _screened(rows: DataFrame, sigs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["g", "h", "id", "f1"])
 
     with_sig = _with(rows.select("path", "id", "f1"), sigs).select("path", "id", "f1", "label", "sig")
-    return with_sig.repartition("path").sortWithinPartitions("path", "id", "f1").mapInArrow(run, "g bigint, h bigint, id bigint, f1 bigint")
+    return with_sig.repartition("path").sortWithinPartitions("path", "id", "f1").mapInArrow(trimmed(run), "g bigint, h bigint, id bigint, f1 bigint")
 
 
 def _compare(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -221,7 +221,7 @@ def _confirmed(screened: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that span the components of each candidate group, on full sets."""
     members = screened.select("g", "h", F.col("id").alias("_id"), F.col("f1").alias("_f")).distinct()
     rows = members.join(sets.hint("merge"), (F.col("_id") == F.col("id")) & (F.col("_f") == F.col("f1"))).select("g", "h", "id", "grams")
-    return rows.repartition("g", "h").sortWithinPartitions("g", "h", "id").mapInArrow(_verify, "a bigint, b bigint")
+    return rows.repartition("g", "h").sortWithinPartitions("g", "h", "id").mapInArrow(trimmed(_verify), "a bigint, b bigint")
 
 
 def _branches(path: Column, sig: Column) -> Column:
@@ -332,7 +332,7 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of df; ids are integers."""
     docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sketches = staged(docs.mapInArrow(_sketch, "id bigint, n bigint, f1 bigint, f2 bigint, sig array<int>"), "sketches")
+    sketches = staged(docs.mapInArrow(trimmed(_sketch), "id bigint, n bigint, f1 bigint, f2 bigint, sig array<int>"), "sketches")
     full = sketches.where("n > 0 and id is not null")
     classes = staged(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
     same_id = classes.groupBy("id").count().where("count > 1").isEmpty()
@@ -345,7 +345,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         if sets:
             ids = ids.join(sets[0].select(F.col("id").alias("_k")).hint("merge"), F.col("_id") == F.col("_k"), "left_anti")
         texts = docs.join(ids.hint("merge"), F.col("id") == F.col("_id"), "left_semi")
-        full = texts.mapInArrow(_full_sets, "id bigint, f1 bigint, grams binary")
+        full = texts.mapInArrow(trimmed(_full_sets), "id bigint, f1 bigint, grams binary")
         sets.append(staged(full.groupBy("id", "f1").agg(F.first("grams").alias("grams")), "sets"))
 
     def link(tiles: DataFrame) -> DataFrame:

@@ -460,6 +460,24 @@ def test_confirmed_links_spare_the_next_level(spark, monkeypatch):
     assert written.count("tiles") == 1 and "paths" not in written
 
 
+def test_tasks_give_back_freed_memory():
+    from quirelake.llm._kernel import trimmed
+
+    def rss():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def run(batches):
+        kept = [[np.ones(12_000, np.uint8) for _ in range(10_000)] for _ in batches]  # on the heap, under something that stays
+        stays.append(np.ones(12_000, np.uint8))
+        del kept
+        yield rss()
+
+    stays, before = [], rss()
+    (held,) = trimmed(run)(iter([1]))
+    assert rss() < before + 40_000_000 and held > before + 100_000_000
+
+
 def test_labels_are_joined_once_a_class(spark, monkeypatch):
     # Texts that share a passage and link with few others: one node in many trees, whose rest is compared at the first level.
     base, written, staged = [f"t{i}" for i in range(60)], [], near_duplicates.staged
