@@ -65,6 +65,7 @@ def _shown(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shown = _SHOWN[buf]
     keep = np.ones(buf.size, bool)
     keep[1:] = (shown[1:] != 32) | (shown[:-1] != 32)
+    keep[offs[:-1][offs[:-1] < buf.size]] = True  # whatever the text before ends in
     return shown[keep], np.concatenate([[0], np.cumsum(keep)])[offs]
 
 
@@ -79,9 +80,23 @@ def _pieces(shown: np.ndarray, offs: np.ndarray, log2: int) -> Iterator[tuple[in
             for n in range(1, max(SIZES) + 1):
                 h = h[: part.size - n + 1] * U(0x100000001B3) ^ part[n - 1 :] if part.size >= n else h[:0]
                 if n in SIZES:
-                    start = np.clip(offs[first:last] - a, 0, b - a)
-                    end = np.clip(offs[first + 1 : last + 1] - (n - 1) - a, start, b - a)
-                    yield first, last, (mix(h + U(n)) >> U(64 - log2)).astype(np.int64), start, end
+                    start = np.minimum(np.maximum(offs[first:last] - a, 0), b - a)
+                    end = np.minimum(np.maximum(offs[first + 1 : last + 1] - (n - 1) - a, start), b - a)
+                    yield first, last, _bucket(h + U(n), log2), start, end
+
+
+def _bucket(x: np.ndarray, log2: int) -> np.ndarray:
+    """mix(x) >> (64 - log2) as indices; x is overwritten."""
+    high = x >> U(30)
+    x ^= high
+    x *= U(0xBF58476D1CE4E5B9)
+    np.right_shift(x, U(27), out=high)
+    x ^= high
+    x *= U(0x94D049BB133111EB)
+    np.right_shift(x, U(31), out=high)
+    x ^= high
+    x >>= U(64 - log2)
+    return x.view(np.int64)
 
 
 @dataclass
@@ -104,12 +119,22 @@ class LanguageModel:
         shown, offs = _shown(buf, offs)
         total, count = np.zeros((offs.size - 1, len(self.labels))), np.zeros(offs.size - 1)
         for first, last, b, start, end in _pieces(shown, offs, log2):
-            sums = np.zeros((b.size + 1, len(self.labels)))
-            np.cumsum(self.logits[b], axis=0, out=sums[1:])
-            total[first:last] += sums[end] - sums[start]
+            got, ends, some = np.zeros(b.size + 1), np.stack([start, end], 1).ravel(), end > start
+            for k, of_label in enumerate(self._by_label()):
+                of_label.take(b, out=got[:-1], mode="clip")
+                total[first:last, k] += np.where(some, np.add.reduceat(got, ends)[::2], 0)
             count[first:last] += end - start
         return total / np.maximum(count, 1)[:, None] + self.bias
 
+    def _by_label(self) -> np.ndarray:
+        """The logits, one row a label."""
+        if getattr(self, "_rows", None) is None or self._of is not self.logits:
+            self._rows, self._of = np.ascontiguousarray(self.logits.T, np.float64), self.logits
+        return self._rows
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_rows", "_of")}
+
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
         z = raw / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -117,9 +142,9 @@ class LanguageModel:
 
 
 def _step(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, b: np.ndarray, c: np.ndarray, y: int, step: float) -> np.ndarray:
-    """Learn one text; its logits before."""
-    rows = emb[b]
-    v = c @ rows
+    """Learn one text; its logits before. emb has a row for each dimension."""
+    rows = emb.take(b, axis=1)
+    v = rows @ c
     z = v @ out + bias
     p = np.exp(z - z.max())
     p /= p.sum()
@@ -127,32 +152,55 @@ def _step(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, b: np.ndarray, c:
     back = out @ p
     out -= step * np.outer(v, p)
     bias -= 0.01 * step * p
-    emb[b] = rows - step * c[:, None] * back
+    rows -= np.outer(step * back, c)
+    for k, row in enumerate(rows):
+        emb[k][b] = row
     return z
 
 
 def _train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_labels: int, log2: int, width: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, output weights and the bias; plain SGD, text by text, with a falling rate."""
     rng = np.random.default_rng(seed)
-    emb = (rng.random((1 << log2, width)) - 0.5) / width
+    emb = np.ascontiguousarray((rng.random((1 << log2, width)) - 0.5).T) / width
     out, bias = np.zeros((width, n_labels)), np.zeros(n_labels)
     steps, done = epochs * len(x), 0
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
             _step(emb, out, bias, *x[i], y[i], rate * (1 - done / steps))
             done += 1
-    return emb, out, bias
+    return np.ascontiguousarray(emb.T), out, bias
 
 
 def _counted(buf: np.ndarray, offs: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of one text, and how often it has them."""
+    shown, offs = _shown(buf, offs)
+    if shown.size <= PIECE and log2 <= 16:  # counted by a radix sort
+        b = np.sort(np.concatenate([b[start[0] : end[0]].astype(np.uint16) for _, _, b, start, end in _pieces(shown, offs, log2)] or [np.zeros(0, np.uint16)]), kind="stable")
+        at = np.flatnonzero(np.concatenate([np.ones(min(1, b.size), bool), b[1:] != b[:-1]]))
+        return b[at].astype(np.int32), np.diff(np.append(at, b.size)).astype(np.float32)
     counts = np.zeros(1 << log2, np.int64)
-    for _, _, b, start, end in _pieces(*_shown(buf, offs), log2):
+    for _, _, b, start, end in _pieces(shown, offs, log2):
         counts += np.bincount(b[start[0] : end[0]], minlength=1 << log2)
     b = np.flatnonzero(counts)
     return b.astype(np.int32), counts[b].astype(np.float32)
 
 
+def _noise(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, buf: np.ndarray, offs: np.ndarray, keys: list[int], log2: int) -> np.ndarray:
+    """Logits of texts whose bytes are shuffled, each by its key; emb has a row for each dimension."""
+    few = out.shape[1] < len(emb)
+    told, by = [], LanguageModel([""] * (out.shape[1] if few else len(emb)), (out.T @ emb if few else emb).T, np.zeros(1))
+    at = 0
+    while at < len(keys):
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + (1 << 18), "right")) - 1)
+        shuffled, ends = buf[offs[at] : offs[to]].copy(), offs[at : to + 1] - offs[at]
+        for k, a, b in zip(keys[at:to], ends[:-1], ends[1:], strict=True):
+            np.random.default_rng(k & 0xFFFFFFFF).shuffle(shuffled[a:b])
+        told.append(by.of_bytes(shuffled, ends, log2))
+        at = to
+    told = np.concatenate(told)
+    return (told if few else told @ out) + bias
+
+
 _LEARNED = "part int, block int, n double, weights binary, y binary, z binary, noise binary"
 
 
@@ -163,28 +211,25 @@ def _learned(rows: DataFrame, start: tuple[np.ndarray, ...], labels: list[str],
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.float64()), *((c, pa.binary()) for c in ("weights", "y", "z", "noise"))])
         part, at, n = TaskContext.get().partitionId(), {y: i for i, y in enumerate(labels)}, 0
         emb, out, bias = (np.array(w, np.float64) for w in start)
+        emb = np.ascontiguousarray(emb.T)
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 some, told = batch.slice(a, ROWS), []
                 truth, key, judged = (some.column(i).to_pylist() for i in (1, 2, 3))
+                _, _, buf, offs = next(text_slices(pc.utf8_lower(some.column(0).cast(pa.large_string())), 1 << 62))
+                noise = _noise(emb, out, bias, buf, offs, key, log2) if any(judged) else None
                 for i in np.random.default_rng([part, n]).permutation(some.num_rows):
-                    text = pc.utf8_lower(some.column(0).slice(i, 1).cast(pa.large_string()))
-                    for _, _, buf, offs in text_slices(text, 1):
-                        b, c = _counted(buf, offs, log2)
-                        c = c / max(np.float32(1), c.sum())
-                        y = at[truth[i]]
-                        if judged[i]:
-                            nb, nc = _counted(np.random.default_rng(key[i] & 0xFFFFFFFF).permutation(buf), offs, log2)
-                            noise = nc / max(np.float32(1), nc.sum()) @ emb[nb] @ out + bias
-                        z = _step(emb, out, bias, b, c, y, RATE)
-                        if judged[i]:
-                            told.append((y, z, noise))
+                    b, c = _counted(buf[offs[i] : offs[i + 1]], offs[i : i + 2] - offs[i], log2)
+                    y = at[truth[i]]
+                    z = _step(emb, out, bias, b.astype(np.int64), c / max(1.0, float(c.sum())), y, RATE)
+                    if judged[i]:
+                        told.append((y, z, noise[i]))
                     n += 1
                 if told:
                     y, z, noise = (np.array(x) for x in zip(*told, strict=True))
                     yield pa.RecordBatch.from_pylist([{"part": part, "block": -1, "y": y.astype(np.int32).tobytes(), "z": z.astype(np.float32).tobytes(), "noise": noise.astype(np.float32).tobytes()}], schema)
         if n:
-            flat = np.concatenate([emb.ravel(), out.ravel(), bias]) * n
+            flat = np.concatenate([emb.T.ravel(), out.ravel(), bias]) * n
             yield pa.RecordBatch.from_pylist([{"part": part, "block": k, "n": float(n), "weights": w.tobytes()} for k, w in enumerate(np.array_split(flat, BLOCKS))], schema)
 
     return rows.mapInArrow(trimmed(run), _LEARNED)

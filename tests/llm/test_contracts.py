@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quirelake.llm import bpe_coding, components, embedding_duplicates, entry, language_id, language_model, license_scans, near_duplicates, quality_rules, repeated_passages, source_mixing, url_filters
@@ -170,6 +171,27 @@ def test_language(spark, sf_dir, docs, empty):
         assert zlib.crc32(str(r.doc_id).encode()) % 4 == 2
 
 
+def test_language_of_a_text_does_not_hang_on_the_text_before():
+    rng = np.random.default_rng(3)
+    for n_labels in (3, 20):
+        emb, out, bias = rng.normal(size=(1 << 10, 8)), rng.normal(size=(8, n_labels)), rng.normal(size=n_labels)
+        model = language_id.LanguageModel(list("abc"), emb @ out, bias) if n_labels == 3 else language_id.LanguageModel([str(i) for i in range(20)], emb @ out, bias)
+        texts = ["ends in a space ", " begins with one", "", "é, x", "?!", " ", "word " * 30_000]
+        alone = np.concatenate([model.raw(pa.array([t])) for t in texts])
+        assert np.allclose(model.raw(pa.array(texts)), alone, rtol=1e-9, atol=1e-9)
+        for t, z in zip(texts, alone, strict=True):
+            buf = np.frombuffer(t.encode(), np.uint8)
+            b, c = language_id._counted(buf, np.array([0, buf.size]), 10)
+            assert np.allclose(z, c.astype(float) / max(1, c.sum()) @ emb[b] @ out + bias)
+        raw = [t.lower().encode() for t in texts]
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        noise = language_id._noise(np.ascontiguousarray(emb.T), out, bias, np.frombuffer(b"".join(raw), np.uint8), offs, list(range(len(raw))), 10)
+        for k, (x, z) in enumerate(zip(raw, noise, strict=True)):
+            mixed = np.random.default_rng(k).permutation(np.array(list(x), np.uint8))
+            b, c = language_id._counted(mixed, np.array([0, mixed.size]), 10)
+            assert np.allclose(z, c.astype(float) / max(1, c.sum()) @ emb[b] @ out + bias)
+
+
 def test_language_is_learned_from_all_labelled_rows(spark, monkeypatch):
     # The start is of some ten rows; words that only other rows have tell the languages, and all others calibrate.
     rng, judged, calibrate = np.random.default_rng(7), [], language_id._calibrate
