@@ -117,7 +117,7 @@ class Vocabulary:
             put &= free
             self.slots[at[put]], self.slot_rank[at[put]] = self.keys[left[put]], values[left[put]]
             left, step = left[~put], step + 1
-        self.probes, self.result = step, np.array([*self.merged, -1], np.int32)
+        self.result = np.array([*self.merged, -1], np.int32)
         self.first = np.array(self.single, np.int32)
 
     @staticmethod
@@ -127,13 +127,19 @@ class Vocabulary:
 
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs; past the last rank where there is none or an end is missing (-1)."""
-        keys = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
-        slot, out = self._slot(keys), np.full(a.shape, len(self.merged), np.int32)
-        for step in range(self.probes):
-            at = (slot + step) & 0xFFFFF
-            hit = self.slots[at] == keys
-            out[hit] = self.slot_rank[at[hit]]
-        return out
+        keys = ((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)).ravel()
+        slot = self._slot(keys)
+        there = self.slots.take(slot)
+        hit = there == keys
+        out = np.where(hit, self.slot_rank.take(slot), np.int32(len(self.merged)))
+        left = np.flatnonzero(~hit & (there != np.iinfo(np.uint64).max))  # an empty slot ends the search
+        while left.size:
+            slot[left] = at = (slot[left] + 1) & 0xFFFFF
+            there = self.slots[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.slot_rank[at[hit]]
+            left = left[~hit & (there != np.iinfo(np.uint64).max)]
+        return out.reshape(a.shape)
 
     def merge_many(self, words: list[bytes]) -> list[list[int]]:
         """merge() of many words, in lockstep; long ones go one by one."""
@@ -145,7 +151,7 @@ class Vocabulary:
             low = top
             for part in np.array_split(at, max(1, at.size // 20_000)):
                 if part.size:
-                    for i, ids in zip(part, self._merge_block([words[i] for i in part], length[part], top), strict=True):
+                    for i, ids in zip(part.tolist(), self._merge_block([words[i] for i in part], length[part], top), strict=True):
                         out[i] = ids
         return [self.merge(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
 
@@ -207,7 +213,7 @@ class Vocabulary:
 # -- splitting text into words ----------------------------------------------------------------------------------
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
-_SHAPE = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+_SHAPE = " ?[{L}]+| ?[{N}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 _FAST_TOP = 0x250
 
 
@@ -359,9 +365,8 @@ class Coder(dict):
         """Ids of new words: special ones, the lexicon's, and the rest merged."""
         raw = [w.encode() for w in words]
         found = self.lexicon.get_many(raw) if self.lexicon else [None] * len(words)
-        for i, w in enumerate(words if self.v.special else ()):
-            if w in self.v.special:
-                found[i] = [self.v.special[w]]
+        for w in self.v.special.keys() & set(words):
+            found[words.index(w)] = [self.v.special[w]]
         unseen = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(unseen, self.v.merge_many([raw[i] for i in unseen]), strict=True):
             found[i] = ids

@@ -290,6 +290,28 @@ def test_bpe_equals_the_library(docs, empty):
     assert all(r.decoded == (r.text or "") for r in bpe_coding.encode(docs).collect())
 
 
+def test_pairs_are_looked_up_no_further_than_an_empty_slot():
+    with open(bpe_coding.default_tokenizer(), "rb") as f:
+        v = bpe_coding.Vocabulary(f.read())
+
+    class Counted(np.ndarray):
+        seen = 0
+
+        def take(self, at):
+            Counted.seen += at.size
+            return np.asarray(self).take(at)
+
+        def __getitem__(self, at):
+            Counted.seen += at.size
+            return np.asarray(self)[at]
+
+    v.slots = v.slots.view(Counted)
+    pairs = np.array([*v.ranks, *np.random.default_rng(5).integers(0, 50_000, (50_000, 2)).tolist(), (-1, -1), (7, -1)])
+    got = v._rank_of(pairs[:, 0], pairs[:, 1])
+    assert got.tolist() == [v.ranks.get((a, b), len(v.merged)) for a, b in pairs.tolist()]
+    assert Counted.seen < 1.5 * len(pairs)
+
+
 def test_workers_keep_one_coder(tmp_path):
     with open(bpe_coding.default_tokenizer(), "rb") as f:
         spec = f.read()
