@@ -118,15 +118,42 @@ def window_names(names: np.ndarray, k: int) -> np.ndarray:
         return mix(out + U(k))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers live on beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, a function of batches, giving back freed memory when it ends: Python workers live on beside the next stage."""
+    """run, a function of batches, giving back freed memory when it ends."""
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # no glibc
-            pass
+        give_back()
+
+    return through
+
+
+def trimmed_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """run, a function of a group, giving back freed memory after each."""
+
+    def through(t: pa.Table) -> pa.Table:
+        out = run(t)
+        give_back()
+        return out
+
+    return through
+
+
+def trimmed_groups(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a function of two groups."""
+
+    def through(t: pa.Table, other: pa.Table) -> pa.Table:
+        out = run(t, other)
+        give_back()
+        return out
 
     return through

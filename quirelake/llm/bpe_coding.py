@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._kernel import trimmed
 from ._shared import appended, release, staged, table, without
 
 LEXICON_WORDS = 32_768
@@ -490,7 +491,7 @@ def code(df: DataFrame, finish, fields: list[T.StructField], text: str = "text",
                 yield appended(part, {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
         coder.forget()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def numbers(runs: list[str]) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._kernel import U, mix, powers, text_slices, window_names, word_names, words
+from ._kernel import U, mix, powers, text_slices, trimmed_group, trimmed_groups, window_names, word_names, words
 from ._shared import partitions, table, without
 
 WINDOW, ROUNDS, COVER = 35, 3, 14
@@ -243,10 +243,10 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", diges
 
     last = "kept_sha256" if digest else "kept_text"
     schema = T.StructType([*df.select([F.col(f"`{c}`") for c in names]).schema.fields, *T._parse_datatype_string(f"n_words long, n_removed long, {last} string").fields])
-    told = docs.groupBy(_H + "chunk").applyInArrow(ask, _PACKED).groupBy("range").applyInArrow(_answer, _ANSWER)
-    packed = docs.groupBy(_H + "chunk").cogroup(told.groupBy("to")).applyInArrow(verify, _PACKED)
-    told = packed.groupBy("range").applyInArrow(_answer, _ANSWER)
-    return docs.groupBy(_H + "chunk").cogroup(told.groupBy("to")).applyInArrow(remove, schema)
+    told = docs.groupBy(_H + "chunk").applyInArrow(trimmed_group(ask), _PACKED).groupBy("range").applyInArrow(trimmed_group(_answer), _ANSWER)
+    packed = docs.groupBy(_H + "chunk").cogroup(told.groupBy("to")).applyInArrow(trimmed_groups(verify), _PACKED)
+    told = packed.groupBy("range").applyInArrow(trimmed_group(_answer), _ANSWER)
+    return docs.groupBy(_H + "chunk").cogroup(told.groupBy("to")).applyInArrow(trimmed_groups(remove), schema)
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -522,6 +522,34 @@ def test_tasks_give_back_freed_memory():
     assert rss() < before + 40_000_000 and held > before + 100_000_000
 
 
+def test_groups_give_back_freed_memory():
+    from quirelake.llm._kernel import give_back, trimmed_group, trimmed_groups
+
+    def rss(*_):
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def run(*_):
+        kept = [np.ones(12_000, np.uint8) for _ in range(10_000)]  # on the heap, under something that stays
+        stays.append(np.ones(12_000, np.uint8))
+        del kept
+        return rss()
+
+    give_back()
+    stays, before = [], rss()
+    for held in (trimmed_group(lambda t: run(t))(None), trimmed_groups(lambda t, told: run(t, told))(None, None)):
+        assert rss() < before + 40_000_000 and held > before + 100_000_000
+
+
+def test_passages_and_coding_give_back_freed_memory(docs, monkeypatch):
+    used = []
+    for module, name in ((repeated_passages, "trimmed_group"), (repeated_passages, "trimmed_groups"), (bpe_coding, "trimmed")):
+        monkeypatch.setattr(module, name, lambda run, f=getattr(module, name), name=name: used.append(name) or f(run))
+    repeated_passages.remove_repeats(docs)
+    bpe_coding.digest(docs, words=[])
+    assert Counter(used) == {"trimmed_group": 3, "trimmed_groups": 2, "trimmed": 1}
+
+
 def test_labels_are_joined_once_a_class(spark, monkeypatch):
     # Texts that share a passage and link with few others: one node in many trees, whose rest is compared at the first level.
     base, written, staged = [f"t{i}" for i in range(60)], [], near_duplicates.staged
