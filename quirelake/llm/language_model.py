@@ -32,17 +32,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._kernel import ASCII_LOWER, U, mix, word_names, words
+from ._kernel import ASCII_LOWER, U, mix, trimmed_group, trimmed_groups, word_names, words
 from ._shared import fold, partitions, table
 
 #: Words of an n-gram, bytes of text in a chunk, and of texts that are packed together. Trigrams need more shuffle space
 #: than the scale check allows (README).
 ORDER, CHUNK_BYTES, PIECE_BYTES = 3, 12 << 20, 1 << 20
 START, END = U(0x5354415254), U(0x454E44)
+GOLDEN = 0.6180339887498949
+#: Tokens that are scored at a time.
+STEP = 1 << 17
 _H = "__quirelake_"
 _SENT = "range int, chunk int, names binary, vals binary, more binary, share array<bigint>"
 _TOLD = "to int, range int, level int, vals binary, more binary, own binary, rest binary, rest_more binary, share array<bigint>"
 _OUT = "id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Texts are written once and read at every step, names and counts are as random as their odds.
+_TEXTS, _CODEC = pa.Codec("zstd", 6), pa.Codec("zstd", 1)
 #: A share: n-grams seen once, twice, three and four times, those seen more than twice, all that were seen, tokens, types.
 SHARE = 8
 
@@ -50,26 +55,70 @@ SHARE = 8
 # -- packing ----------------------------------------------------------------------------------------------------
 
 
+def _shrunk(raw: pa.Buffer) -> bytes:
+    return _TEXTS.compress(raw, asbytes=True)
+
+
+def _packed(parts: list[np.ndarray]) -> bytes:
+    """Bytes, each part compressed by itself (its symbols have odds of their own) where that helps."""
+    raw = [x.tobytes() for x in parts]
+    less = [_CODEC.compress(x, asbytes=True) for x in raw]
+    kept = [y if len(y) < len(x) else x for x, y in zip(raw, less, strict=True)]
+    return b"".join([np.array([len(raw), *map(len, raw), *map(len, kept)], np.int64).tobytes(), *kept])
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    raw, kept = np.frombuffer(blob, np.int64, 2 * n, 8).reshape(2, n).tolist()
+    at, out = 8 + 16 * n, []
+    for size, held in zip(raw, kept, strict=True):
+        part = memoryview(blob)[at : at + held]
+        out.append(np.frombuffer(part if held == size else _CODEC.decompress(part, size), np.uint8))
+        at += held
+    return out
+
+
 def _small(x: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts, column after column, as bytes, with those from 255 on apart."""
-    x = np.ascontiguousarray(x.T).ravel()
-    big = x >= 255
-    return np.where(big, 255, x).astype(np.uint8).tobytes(), x[big].astype(np.int64).tobytes()
+    """Counts as bytes, with those from 255 on apart: codes of the rows that occur most, and the other rows. A single column is read four a row."""
+    n, columns = x.shape
+    if not columns:
+        return b"", b""
+    low = np.minimum(x, 255).astype(np.uint8)
+    if columns == 1:
+        low = np.append(low, np.zeros(-n % 4, np.uint8)).reshape(-1, 4)
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, : low.shape[1]] = low
+    rows, of, times = np.unique(wide.view(U), return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(order.size, np.int64)
+    rank[order] = np.arange(order.size)
+    code = np.minimum(rank, 255)[of.ravel()].astype(np.uint8)
+    frequent = rows[order[:255]].view(np.uint8).reshape(-1, 8)[:, : low.shape[1]]
+    return _packed([np.array([n]), frequent.T, code, low[code == 255].T]), x.T[x.T >= 255].astype(np.int64).tobytes()
 
 
 def _large(vals: bytes, more: bytes, columns: int) -> np.ndarray:
-    x = np.frombuffer(vals, np.uint8).astype(np.int64)
+    n, frequent, code, other = _unpacked(vals)
+    width = 4 if columns == 1 else columns
+    rows = np.empty((code.size, width), np.uint8)
+    known = code < 255
+    rows[known], rows[~known] = frequent.reshape(width, -1).T[code[known]], other.reshape(width, -1).T
+    x = (rows.reshape(-1, columns)[: int(n.view(np.int64)[0])].T).astype(np.int64)
     x[x == 255] = np.frombuffer(more, np.int64)
-    return x.reshape(columns, -1).T
+    return x.T
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return _packed([np.packbits(x)])
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """All first bytes, all second ones and so on: those of sorted names compress well on their way."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(x.size, 8).T[::-1]).tobytes()
+    """Steps between sorted names: all first bytes, all second ones and so on. The upper ones are small or nothing."""
+    return _packed(list(np.ascontiguousarray(np.diff(x, prepend=U(0)).view(np.uint8).reshape(x.size, 8).T)))
 
 
 def _unplanes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1)[::-1].T).view(U).ravel()
+    return np.cumsum(np.ascontiguousarray(np.stack(_unpacked(blob)).T).view(U).ravel(), dtype=U)
 
 
 def _cuts(names: np.ndarray, log2: int) -> list[tuple[int, int, int]]:
@@ -98,8 +147,8 @@ def _packer(chunks: int, piece: int, id_type: pa.DataType):
                 j = max(i + 1, int(np.searchsorted(offs, offs[i] + piece, "right")) - 1)
                 at = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
                 raw = text.buffers()[2].slice(int(at[i]), int(offs[j] - offs[i])) if offs[j] > offs[i] else pa.py_buffer(b"")
-                name = int(mix(np.array([(batch.column(4)[0].as_py() << 32) + turn], U))[0])
-                rows.append((name % chunks, i, j, size[i:j], pa.compress(raw, codec="zstd", asbytes=True) if offs[j] > offs[i] else b""))
+                first = int(batch.column(4)[0].as_py() * GOLDEN % 1 * chunks)  # turns start far apart, so that chunks get alike
+                rows.append(((first + turn) % chunks, i, j, size[i:j], _shrunk(raw) if offs[j] > offs[i] else b""))
                 i, turn = j, turn + 1
             lists = lambda col, rows=rows: pa.ListArray.from_arrays(pa.array([r[1] for r in rows] + [rows[-1][2]], pa.int32()), col)
             if rows:
@@ -174,10 +223,11 @@ def _messages(chunk: int, names: np.ndarray, vals: np.ndarray, log2: int, share:
 def _answers(told: pa.Table, level: int, columns: int, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Sums of a chunk's n-grams in the order of their names; with `own` their first column, and whether it owns them."""
     fields = ["range", "level", "vals", "more", *(["own"] if own else ["rest", "rest_more"])]
-    rows = sorted((r for r in told.select(fields).to_pylist() if r["level"] == level and r["range"] >= 0), key=lambda r: r["range"])
+    told = told.filter((pc.field("level") == level) & (pc.field("range") >= 0)).select(fields).sort_by("range")
+    rows = told.to_pylist()
     vals = [_large(r["vals"], r["more"], 1) for r in rows]
     if own:
-        bits = [np.unpackbits(np.frombuffer(r["own"], np.uint8), count=len(v)) for r, v in zip(rows, vals, strict=True)]
+        bits = [np.unpackbits(_unpacked(r["own"])[0], count=len(v)) for r, v in zip(rows, vals, strict=True)]
         return np.concatenate(vals), np.concatenate(bits).astype(bool)
     if columns > 1:
         vals = [np.hstack([v, _large(r["rest"], r["rest_more"], columns - 1)]) for r, v in zip(rows, vals, strict=True)]
@@ -231,7 +281,7 @@ def _merge(t: pa.Table, level: int, order: int) -> pa.Table:
     out = [(0 if level > 1 else -1, -1 - here, level, b"", b"", b"", b"", b"", [int(x) for x in share])]
     for r, n in zip(rows, names, strict=True):
         mine = told[at : at + n.size]
-        out.append((r["chunk"], here, level, *_small(mine[:, :1]), np.packbits(own[at : at + n.size]).tobytes(), *_small(mine[:, 1:]), heard))
+        out.append((r["chunk"], here, level, *_small(mine[:, :1]), _bits(own[at : at + n.size]), *_small(mine[:, 1:]), heard))
         at += n.size
     return _table(out, _TOLD)
 
@@ -250,6 +300,7 @@ def _score(t: pa.Table, told: pa.Table, order: int, id_type: pa.DataType) -> pa.
     if not t.num_rows:
         return pa.table({"id": pa.array([], id_type), "held_out": pa.array([], pa.bool_()), **{n: pa.array([], pa.int64()) for n in ("n_tokens", "n_known", "train_tokens")}, **{n: pa.array([], pa.float64()) for n in ("base_score", "score")}})
     c = Chunk(t, list(range(1, order + 1)))
+    c.names.clear()
     share = {1: np.array(t[_H + "share"][0].as_py(), np.int64)}
     for s, k, r in zip(told["share"], told["level"].to_pylist(), told["range"].to_pylist(), strict=True):
         if s.is_valid and k < order and r >= 0:
@@ -260,12 +311,16 @@ def _score(t: pa.Table, told: pa.Table, order: int, id_type: pa.DataType) -> pa.
     rest = (d[1] * share[1][0] + d[2] * share[1][1] + d[3] * share[1][4]) / links if links else 1.0
     p = ((np.maximum(left - d[np.minimum(left, 3)], 0) / links if links else np.zeros(left.size)) + rest / (types + 1))[c.of[1]]
     for k in range(2, order + 1):
-        vals, d = _answers(told, k, _columns(k, order))[0], discounts(share[k][:4])
-        total, once, twice, more = (stats[c.context[k - 1], i] for i in range(1, 5))
-        v = vals[c.of[k], 0]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            longer = np.maximum(v - d[np.minimum(v, 3)], 0) / total + (d[1] * once + d[2] * twice + d[3] * more) / total * p
-        p, stats = np.where(total > 0, longer, p), vals
+        vals, d, lower = _answers(told, k, _columns(k, order))[0], discounts(share[k][:4]), p
+        p = np.empty_like(lower)
+        for a in range(0, p.size, STEP):
+            at = slice(a, a + STEP)
+            _, total, once, twice, more = stats[c.context[k - 1][at], :5].T
+            v = vals[c.of[k][at], 0]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                longer = np.maximum(v - d[np.minimum(v, 3)], 0) / total + (d[1] * once + d[2] * twice + d[3] * more) / total * lower[at]
+            p[at] = np.where(total > 0, longer, lower[at])
+        stats = vals
     by_doc = lambda x: np.add.reduceat(x, c.begins)
     flat = lambda n, kind: pa.concat_arrays([a.flatten() for a in t[n].chunks]).cast(kind)
     return pa.table({
@@ -307,17 +362,19 @@ def score(df: DataFrame, learn: Column, held_out: Column, key: str = "doc_id", t
     def finish(t: pa.Table, told: pa.Table) -> pa.Table:
         return _score(t, told, order, id_type)
 
-    sent, told = docs.groupBy(_H + "chunk").applyInArrow(first, _SENT), {}
+    sent, told = docs.groupBy(_H + "chunk").applyInArrow(trimmed_group(first), _SENT), {}
     for level in range(order, 0, -1):
-        told[level] = sent.groupBy("range").applyInArrow(merge(level), _TOLD)
+        # dealt once: what a chunk hears before it sends the next length is what it scores from
+        merged = sent.groupBy("range").applyInArrow(trimmed_group(merge(level)), _TOLD)
+        told[level] = merged.repartition(spread, "to")
         if level > 1:
-            sent = docs.groupBy(_H + "chunk").cogroup(told[level].drop("rest", "rest_more").groupBy("to")).applyInArrow(after(level - 1), _SENT)
-    share = told[1].where("to = -1").agg(F.array(*[F.coalesce(F.sum(F.get("share", F.lit(i))), F.lit(0)) for i in range(SHARE)]).alias(_H + "share"))
+            sent = docs.groupBy(_H + "chunk").cogroup(told[level].groupBy("to")).applyInArrow(trimmed_groups(after(level - 1)), _SENT)
+    share = merged.where("to = -1").agg(F.array(*[F.coalesce(F.sum(F.get("share", F.lit(i))), F.lit(0)) for i in range(SHARE)]).alias(_H + "share"))
     every = told[order]
     for level in range(order - 1, 0, -1):
         every = every.unionByName(told[level])
-    last = docs.crossJoin(F.broadcast(share)).groupBy(_H + "chunk").cogroup(every.drop("own").groupBy("to"))
-    return last.applyInArrow(finish, _OUT.format(id=kind.simpleString()))
+    last = docs.crossJoin(F.broadcast(share)).groupBy(_H + "chunk").cogroup(every.groupBy("to"))
+    return last.applyInArrow(trimmed_groups(finish), _OUT.format(id=kind.simpleString()))
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -389,6 +389,20 @@ def _folds():
     return F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.crc32(F.col("doc_id").cast("string")) % 7 == 2
 
 
+@pytest.mark.parametrize("n", [1, 2, 300, 13_000])
+def test_language_model_messages_are_near_their_entropy(n):
+    rng = np.random.default_rng(n)
+    names = np.unique(rng.integers(1 << 57, 1 << 58, n, np.uint64))
+    names[-1] = (1 << 64) - 1 if n < 3 else names[-1]
+    counts = np.minimum(rng.geometric(0.9, (n, 1)), 3) * np.array([[1, 1, 1, 0, 300]])
+    said, (vals, more), (ones, _) = language_model._planes(names), language_model._small(counts), language_model._small(counts[:, :1])
+    assert np.array_equal(language_model._unplanes(said), names) and np.array_equal(language_model._large(vals, more, 5), counts)
+    own = rng.random(n) < 0.95
+    assert np.array_equal(np.unpackbits(language_model._unpacked(language_model._bits(own))[0], count=n), own)
+    if n > 10_000:  # 57 bits less 13.7 for the order, and 1.4
+        assert len(said) < n * 5.75 and len(ones) < n * 0.125
+
+
 def test_language_model_query_is_of_trigrams(spark, sf_dir):
     from pyspark.sql import functions as F
 
