@@ -35,8 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ._kernel import ASCII_LOWER, U, mix, trimmed_group, trimmed_groups, word_names, words
 from ._shared import fold, partitions, table
 
-#: Words of an n-gram, bytes of text in a chunk, and of texts that are packed together. Trigrams need more shuffle space
-#: than the scale check allows (README).
+#: Words of an n-gram, bytes of text in a chunk, and of texts that are packed together.
 ORDER, CHUNK_BYTES, PIECE_BYTES = 3, 12 << 20, 1 << 20
 START, END = U(0x5354415254), U(0x454E44)
 GOLDEN = 0.6180339887498949
@@ -47,7 +46,7 @@ _SENT = "range int, chunk int, names binary, vals binary, more binary, share arr
 _TOLD = "to int, range int, level int, vals binary, more binary, own binary, rest binary, rest_more binary, share array<bigint>"
 _OUT = "id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: Texts are written once and read at every step, names and counts are as random as their odds.
-_TEXTS, _CODEC = pa.Codec("zstd", 6), pa.Codec("zstd", 1)
+_TEXTS, _CODEC = pa.Codec("zstd", 9), pa.Codec("zstd", 1)
 #: A share: n-grams seen once, twice, three and four times, those seen more than twice, all that were seen, tokens, types.
 SHARE = 8
 
@@ -56,7 +55,8 @@ SHARE = 8
 
 
 def _shrunk(raw: pa.Buffer) -> bytes:
-    return _TEXTS.compress(raw, asbytes=True)
+    """A piece's bytes, lower-cased as their words are read."""
+    return _TEXTS.compress(ASCII_LOWER[np.frombuffer(raw, np.uint8)].tobytes(), asbytes=True)
 
 
 def _packed(parts: list[np.ndarray]) -> bytes:
@@ -220,15 +220,23 @@ def _messages(chunk: int, names: np.ndarray, vals: np.ndarray, log2: int, share:
     return _table(rows, _SENT)
 
 
-def _answers(told: pa.Table, level: int, columns: int, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of a chunk's n-grams in the order of their names; with `own` their first column, and whether it owns them."""
+def _answers(told: pa.Table, level: int, columns: int, own: bool = False, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of a chunk's n-grams in the order of their names; with `own` their first column, and whether it owns them.
+
+    What a chunk has all occurrences of (`counts`, its own) is its own, and not said.
+    """
     fields = ["range", "level", "vals", "more", *(["own"] if own else ["rest", "rest_more"])]
     told = told.filter((pc.field("level") == level) & (pc.field("range") >= 0)).select(fields).sort_by("range")
     rows = told.to_pylist()
     vals = [_large(r["vals"], r["more"], 1) for r in rows]
     if own:
-        bits = [np.unpackbits(_unpacked(r["own"])[0], count=len(v)) for r, v in zip(rows, vals, strict=True)]
-        return np.concatenate(vals), np.concatenate(bits).astype(bool)
+        bits, value = [_unpacked(r["own"])[0] for r in rows], np.concatenate(vals)
+        if counts is None:
+            return value, np.concatenate([np.unpackbits(x, count=len(v)) for x, v in zip(bits, vals, strict=True)]).astype(bool)
+        mine, open_ = counts > 0, counts != value[:, 0]
+        each = np.split(open_, np.cumsum([len(v) for v in vals])[:-1])
+        mine[open_] = np.concatenate([np.unpackbits(x, count=int(o.sum())) for x, o in zip(bits, each, strict=True)])
+        return value, mine
     if columns > 1:
         vals = [np.hstack([v, _large(r["rest"], r["rest_more"], columns - 1)]) for r, v in zip(rows, vals, strict=True)]
     return np.concatenate(vals), np.zeros(0, bool)
@@ -251,7 +259,8 @@ def _next(t: pa.Table, told: pa.Table, level: int, order: int, log2: int) -> pa.
     if not t.num_rows:
         return _messages(chunk, np.zeros(0, U), np.zeros((0, _columns(level, order)), np.int64), log2, share)
     c = Chunk(t, [level, level + 1])
-    vals, own = _answers(told, level + 1, _columns(level + 1, order), True)
+    counts = np.bincount(c.of[order][c.token_train], minlength=c.names[order].size) if level + 1 == order else None
+    vals, own = _answers(told, level + 1, _columns(level + 1, order), True, counts)
     value, (suffix, prefix) = vals[:, 0], c.ends(level + 1)
     of = lambda where, what, weight=None: np.bincount(where[what], None if weight is None else weight[what], c.names[level].size).astype(np.int64)
     sums = [of(suffix, own), of(prefix, own, value), of(prefix, own & (value == 1)), of(prefix, own & (value == 2)), of(prefix, own & (value > 2))]
@@ -277,11 +286,12 @@ def _merge(t: pa.Table, level: int, order: int) -> pa.Table:
     v = total[:, 0]
     share = [*((v == k).sum() for k in (1, 2, 3, 4)), (v > 2).sum(), v.sum(), *((total[:, 5].sum(), (total[:, 5] > 0).sum()) if level == 1 else (0, 0))]
     told, at = total[of], 0
+    said = vals[:, 0] != told[:, 0] if level == order else np.full(of.size, level > 1)
     here = t["range"][0].as_py()
     out = [(0 if level > 1 else -1, -1 - here, level, b"", b"", b"", b"", b"", [int(x) for x in share])]
     for r, n in zip(rows, names, strict=True):
         mine = told[at : at + n.size]
-        out.append((r["chunk"], here, level, *_small(mine[:, :1]), _bits(own[at : at + n.size]), *_small(mine[:, 1:]), heard))
+        out.append((r["chunk"], here, level, *_small(mine[:, :1]), _bits(own[at : at + n.size][said[at : at + n.size]]), *_small(mine[:, 1:]), heard))
         at += n.size
     return _table(out, _TOLD)
 
