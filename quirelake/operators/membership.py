@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import keys
 from quirelake.operators.library import latest
+from quirelake.operators.staging import staged
 
 
 def number_label(position: Column, end: Column) -> Column:
@@ -91,9 +92,12 @@ def set_for_books(members: DataFrame, series: DataFrame, entries: DataFrame) ->
 
 
 def _numbered(df: DataFrame, order: str) -> DataFrame:
-    """df with n, 1 and up in an order; sorted in parallel, then numbered by the sizes of the ranges before."""
-    spread = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    within = spread.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
+    """df with n, 1 and up, for a column that gives an order; sorted in parallel, then numbered by the sizes of the ranges before.
+
+    Ranges are cut by a sample, so the sorted rows are written once: a plan that is read twice may cut them in two ways.
+    """
+    sorted_ = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).drop(order).withColumn("_m", F.monotonically_increasing_id())
+    within = staged(sorted_, "numbered").withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND((1 << 33) - 1) + 1}).drop("_m")
     sizes = within.groupBy("_p").agg(F.count("*").alias("_c"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     return within.join(F.broadcast(before), "_p").withColumn("n", F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
