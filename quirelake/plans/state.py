@@ -324,7 +324,7 @@ def work_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("book"), status.alias("status"), (F.col("o_custkey") % 5).alias("metadata_version"), sha.alias("sha256"), F.col("o_orderdate").alias("added_at"))
     out = None
     for kind, left in edits.to_backfill(books, 3).items():
-        numbered = membership._numbered(left.withColumn("at", F.struct("added_at", "book")), "at").select(F.lit(kind).alias("kind"), "book", F.col("n").cast("long").alias("place"))
+        numbered = membership._numbered(left.select("book", F.struct("added_at", "book").alias("at")), "at").select(F.lit(kind).alias("kind"), "book", F.col("n").cast("long").alias("place"))
         out = numbered if out is None else out.unionByName(numbered)
     return out
 
@@ -495,6 +495,6 @@ def library_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("read"), F.col("p_size").alias("added"), F.col("p_name").alias("title"), F.when(F.col("p_brand") == "Brand#1", "").otherwise(F.col("p_brand")).alias("author"))
     out = None
     for name, order in library.orders().items():
-        ranked = membership._numbered(books.withColumn("_at", F.struct(*order, F.col("p_partkey"))), "_at").select("p_partkey", F.col("n").cast("long").alias(name))
+        ranked = membership._numbered(books.select("p_partkey", F.struct(*order, F.col("p_partkey")).alias("_at")), "_at").select("p_partkey", F.col("n").cast("long").alias(name))
         out = ranked if out is None else out.join(ranked, "p_partkey")
     return out
