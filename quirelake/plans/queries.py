@@ -452,16 +452,15 @@ _EDGES = """e as (select a.id a, b.id b, 1 p from books a join books b on a.file
   union all select a.id, b.id, 3 from books a join books b on a.title = b.title and a.id < b.id and (a.author = '' or b.author = '' or a.author = b.author))"""
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _books(spark, sf_dir)
-    different = b.where("id % 5 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    return resolve.best_reason(resolve.pairs_by(b, "file", "id", "file"), resolve.pairs_by(b, "isbn", "id", "isbn"), resolve.title_pairs(b, "id", "title", "author"), different=different)
+def _different(books: DataFrame) -> DataFrame:
+    return books.where("id % 5 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
 
 
 @query("duplicate_pairs", f"with books as ({_BOOKS}), {_EDGES} select a, b, (['file', 'isbn', 'title'])[min(p)] reason from e where not (a % 5 = 0 and b = a + 1) group by a, b")
 def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14-C16, D11."""
-    return _edges(spark, sf_dir)
+    b = _books(spark, sf_dir)
+    return resolve.duplicate_pairs(b, "id", "file", "isbn", "title", "author", _different(b))
 
 
 @query(
@@ -473,11 +472,10 @@ select a node, min(b) component from r group by a
 """,
 )
 def duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A star a file and ISBN is enough, but where a pair was declared different."""
+    """A star a file, ISBN and title is enough, but where a pair was declared different."""
     b = _books(spark, sf_dir)
-    different = b.where("id % 5 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    linked = [resolve.component_edges(b, key, "id", key, different) for key in ("file", "isbn")]
-    return graph.components(resolve.best_reason(*linked, resolve.title_pairs(b, "id", "title", "author"), different=different))
+    linked = [resolve.component_edges(b, key, "id", key, _different(b), by) for key, by in (("file", None), ("isbn", None), ("title", "author"))]
+    return graph.components(linked[0].unionByName(linked[1]).unionByName(linked[2]))
 
 
 _TELL = "case when len(list_filter(w, lambda x: not list_contains({c}, x))) > 0 then list_filter(w, lambda x: not list_contains({c}, x)) else w end".format(c="[" + ", ".join(f"'{w}'" for w in keys.COMMON) + "]")

@@ -1,8 +1,12 @@
 """Cases that only show on more rows than the smallest tables have."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from quirelake.operators import edits, membership
+from quirelake.operators import edits, membership, resolve
+from quirelake.plans import queries
 
 
 def test_numbers_go_up_by_one_over_many_ranges(spark):
@@ -17,3 +21,62 @@ def test_a_genre_is_set_for_more_than_ten_thousand_books(spark):
     got = edits.set_genre(books, books.select("book"), F.col("book") >= 0, "Crime")
     assert got.where("genre = 'Crime'").count() == 10_500
     assert edits.set_genre(books, books.select("book"), F.col("book") > 0, "Crime").where("genre = 'Old'").count() == 10_500
+
+
+def _books(spark, n, seed):
+    """Few keys, so that groups are large, and many pairs declared different, also of one book from most others."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["", "f1"]), rng.choice(["", "i1", "i2", None]), rng.choice(["t1", "t2", "untitled", ""]), rng.choice(["", "x", "y", None] if seed % 2 else ["x", "y", "z"])) for i in range(n)]
+    away = {tuple(rng.sample(range(n), 2)) for _ in range(n * n // 3)} | {(0, i) for i in range(1, n - 1)}
+    books = spark.createDataFrame(rows, "id long, file string, isbn string, title string, author string")
+    return rows, away, books, spark.createDataFrame(sorted(away), "a long, b long")
+
+
+def _wanted(rows, away):
+    out = {}
+    for a, af, ai, at, aa in rows:
+        for b, bf, bi, bt, ba in rows:
+            if a >= b or (a, b) in away or (b, a) in away:
+                continue
+            agree = aa == "" or ba == "" or (aa is not None and aa == ba)
+            reason = "file" if af and af == bf else "isbn" if ai and ai == bi else "title" if at not in ("", "untitled") and at == bt and agree else None
+            if reason:
+                out[a, b] = reason
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 2_000])
+def test_pairs_of_blocks_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(resolve, "BLOCK", block)
+    for seed in (1, 2):
+        rows, away, books, different = _books(spark, 14, seed)
+        got = [tuple(r) for r in resolve.duplicate_pairs(books, "id", "file", "isbn", "title", "author", different).collect()]
+        assert len(got) == len(set(got)) and {(a, b): r for a, b, r in got} == _wanted(rows, away)
+
+
+def test_few_links_connect_what_all_pairs_connect(spark):
+    def smallest(pairs):
+        at = {x: x for p in pairs for x in p}
+        for _ in at:
+            for a, b in pairs:
+                at[a] = at[b] = min(at[a], at[b])
+        return at
+
+    for seed in (3, 4, 5, 6):
+        rows, away, books, different = _books(spark, 9, seed)
+        for key, author in (("file", None), ("isbn", None), ("title", "author")):
+            only = [(i, f if key == "file" else "", s if key == "isbn" else "", t if key == "title" else "", a) for i, f, s, t, a in rows]
+            got = [tuple(r) for r in resolve.component_edges(books, key, "id", key, different, author).collect()]
+            want = _wanted(only, away)
+            assert set(got) <= set(want) and smallest(got) == smallest(want)
+
+
+def test_links_of_a_hot_title_are_as_many_as_its_books(spark):
+    books = spark.range(3_000).select("id", F.lit("same").alias("title"), F.when(F.col("id") % 4 == 0, "").otherwise("x").alias("author"))
+    different = books.where("id % 5 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert resolve.component_edges(books, "title", "id", "title", different, "author").count() < 7_000
+
+
+def test_pairs_are_not_sent_once_they_are_found(spark, sf_dir):
+    plan = queries.QUERIES["duplicate_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") == 0
