@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import keys
 from quirelake.operators.library import latest
-from quirelake.operators.staging import staged
+from quirelake.operators.staging import staged, tasks_for
 
 
 def number_label(position: Column, end: Column) -> Column:
@@ -36,17 +36,23 @@ def books_in(members: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def genres_beside(members: DataFrame, books: DataFrame) -> DataFrame:
-    """For each book, the genres of the other books of its numbered series, and how many books have each."""
-    mine = members.where("position is not null").select("series", F.col("book").alias("mine")).distinct()
-    other = members.select("series", F.col("book").alias("other")).distinct().join(books.where("genre <> ''").select(F.col("book").alias("other"), "genre"), "other")
-    return mine.join(other, "series").where("mine <> other").groupBy(F.col("mine").alias("book"), "genre").agg(F.countDistinct("other").alias("n"))
+    """For each book, the genres of the other books of its numbered series, and how many books have each.
+
+    Each exchange has as many partitions as the memberships ask for; the pairs are sent once, by book.
+    """
+    n = tasks_for(members)
+    mine = members.where("position is not null").select("series", F.col("book").alias("mine")).repartition(n, "series").distinct()
+    genres = books.where("genre <> ''").select(F.col("book").alias("other"), "genre")
+    other = members.select("series", F.col("book").alias("other")).repartition(n, "other").distinct().join(genres, "other").repartition(n, "series")
+    pairs = mine.join(other, "series").where("mine <> other").select(F.col("mine").alias("book"), "genre", "other")
+    return pairs.repartition(n, "book").distinct().groupBy("book", "genre").agg(F.count("*").alias("n"))
 
 
 def genre_beside(members: DataFrame, books: DataFrame) -> DataFrame:
     """The genre most of these books have; empty when two genres are as common."""
-    counts = genres_beside(members, books)
-    best = counts.groupBy("book").agg(F.max("n").alias("n"))
-    return counts.join(best, ["book", "n"]).groupBy("book").agg(F.when(F.count("*") == 1, F.min("genre")).otherwise("").alias("genre"))
+    led = genres_beside(members, books).groupBy("book").agg(F.sort_array(F.collect_list(F.struct("n", "genre")), asc=False).alias("g"))
+    shared = (F.size("g") > 1) & (F.get("g", F.lit(0))["n"] == F.get("g", F.lit(1))["n"])
+    return led.select("book", F.when(shared, "").otherwise(F.col("g")[0]["genre"]).alias("genre"))
 
 
 def unique_entries(entries: DataFrame, owner: str) -> DataFrame:

@@ -32,6 +32,15 @@ def staged(df: DataFrame, what: str = "table") -> DataFrame:
     return out
 
 
+def tasks_for(df: DataFrame, task_bytes: int = 1_000_000) -> int:
+    """Partitions for df by Spark's estimate of its size, spark.sql.shuffle.partitions at least: tasks stay alike as tables grow.
+
+    A repartition to a number is not merged again, as exchanges that Spark plans are.
+    """
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, size // task_bytes) if size < 1 << 50 else least  # beyond it the size is not known
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import keys
 from quirelake.operators import edits, library, membership
+from quirelake.operators.staging import tasks_for
 from quirelake.plans.queries import _t, query
 
 _SHELF = """shelf as (select l_orderkey series, l_partkey book, case when min(l_quantity) < 40 then cast(min(l_linenumber) as double) end as position,
@@ -18,8 +19,8 @@ _BOOKS = "books as (select p_partkey book, p_name title, p_brand author, case wh
 def _shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as memberships: the order is the series, the part the book."""
     n, q = F.min("l_linenumber"), F.min("l_quantity")
-    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("series"), F.col("l_partkey").alias("book"))
-    return lines.agg(F.when(q < 40, n.cast("double")).alias("position"), F.when(q < 10, (n + 2).cast("double")).alias("position_end"), (n * 10_000_000 + F.col("book")).alias("ord"))
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("series"), F.col("l_partkey").alias("book"), "l_linenumber", "l_quantity")
+    return lines.repartition(tasks_for(lines), "series").groupBy("series", "book").agg(F.when(q < 40, n.cast("double")).alias("position"), F.when(q < 10, (n + 2).cast("double")).alias("position_end"), (n * 10_000_000 + F.col("book")).alias("ord"))
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:

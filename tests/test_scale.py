@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.operators import edits, membership, resolve
+from quirelake.operators import edits, membership, resolve, staging
 from quirelake.plans import queries
 
 
@@ -80,3 +80,17 @@ def test_links_of_a_hot_title_are_as_many_as_its_books(spark):
 def test_pairs_are_not_sent_once_they_are_found(spark, sf_dir):
     plan = queries.QUERIES["duplicate_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Union") == 0
+
+
+def test_tasks_of_genre_beside_grow_with_the_input(spark, sf_dir):
+    assert staging.tasks_for(spark.range(5_000_000)) == 40 and staging.tasks_for(spark.range(10)) == 4
+    plan = queries.QUERIES["genre_beside"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
+
+
+def test_genre_beside_is_empty_when_two_lead(spark):
+    members = spark.createDataFrame([(1, 1, 1.0), (1, 2, 2.0), (1, 3, None), (2, 1, 1.0), (2, 2, 1.0), (2, 4, None)], "series long, book long, position double")
+    books = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (4, "")], "book long, genre string")
+    assert {r.book: r.genre for r in membership.genre_beside(members, books).collect()} == {1: "", 2: ""}
+    assert {r.book: r.genre for r in membership.genre_beside(members, books.where("book <> 3")).collect()} == {1: "A", 2: "A"}
