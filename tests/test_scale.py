@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.operators import edits, membership, resolve, staging
+from quirelake.operators import edits, markup, membership, resolve, staging
 from quirelake.plans import queries
 
 
@@ -94,3 +95,14 @@ def test_genre_beside_is_empty_when_two_lead(spark):
     books = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (4, "")], "book long, genre string")
     assert {r.book: r.genre for r in membership.genre_beside(members, books).collect()} == {1: "", 2: ""}
     assert {r.book: r.genre for r in membership.genre_beside(members, books.where("book <> 3")).collect()} == {1: "A", 2: "A"}
+
+
+def test_cleaned_pages_leave_in_pieces(monkeypatch):
+    monkeypatch.setattr(markup, "PIECE", 30)
+    pages = ["<p>" + "word " * 4 + "</p>", None, "<p><a href='https://x.example/'>a</a></p><p>***</p>", "<script>x</script>", "<p>last</p>"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(15), pa.int64()), pa.array(pages, pa.string())], ["page_id", "html"])
+    got = list(markup.cleaned_pieces(iter([batch, batch.slice(0, 0), batch.slice(3, 2)]), "page_id"))
+    assert len(got) > 5 and all(sum(map(len, b.column("html").to_pylist()[:-1])) < 30 for b in got)
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["page_id"] for r in rows] == [*range(15), 3, 4]
+    assert [(r["chars"], r["elements"], r["links"], r["breaks"]) for r in rows[:5]] == [(20, 1, 0, 0), (0, 0, 0, 0), (1, 3, 1, 1), (0, 0, 0, 0), (4, 1, 0, 0)]
