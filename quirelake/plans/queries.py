@@ -513,9 +513,9 @@ select * from r where place <= 5
 """,
 )
 def rank_matches_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G04."""
-    m = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("lookup"), (F.col("l_partkey") % 40).alias("key"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ord"), F.when(F.col("l_orderkey") % 4 == 0, 0.0).otherwise(F.round("l_discount", 2)).alias("score"), (F.col("l_suppkey") % 3 == 0).alias("by_author"))
-    return resolve.rank_matches(m, "lookup").drop("by_author").withColumn("place", F.col("place").cast("long"))
+    """Of order lines with one number and part, the first in the table counts."""
+    m = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("lookup"), (F.col("l_partkey") % 40).alias("key"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ord"), F.when(F.col("l_orderkey") % 4 == 0, 0.0).otherwise(F.round("l_discount", 2)).alias("score"), (F.col("l_suppkey") % 3 == 0).alias("by_author"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return resolve.rank_matches(m, "lookup", at=("_file", "_row")).drop("by_author").withColumn("place", F.col("place").cast("long"))
 
 
 @query(

@@ -106,3 +106,10 @@ def test_cleaned_pages_leave_in_pieces(monkeypatch):
     rows = [r for b in got for r in b.to_pylist()]
     assert [r["page_id"] for r in rows] == [*range(15), 3, 4]
     assert [(r["chars"], r["elements"], r["links"], r["breaks"]) for r in rows[:5]] == [(20, 1, 0, 0), (0, 0, 0, 0), (1, 3, 1, 1), (0, 0, 0, 0), (4, 1, 0, 0)]
+
+
+def test_of_tied_matches_the_first_in_the_input_counts(spark):
+    rows = [(1, 7, 1, 0.1, False, 2), (1, 7, 1, 0.9, False, 1), (1, 7, 1, 0.5, True, 3), (1, 6, 1, 0.9, False, 0), (2, 7, 1, 0.0, True, 4), (2, 7, 1, 0.0, False, 5)]
+    for some in (rows, rows[::-1]):
+        m = spark.createDataFrame(some, "lookup long, key long, ord long, score double, by_author boolean, at long").coalesce(1)
+        assert {(r.lookup, r.key, r.score, r.place) for r in resolve.rank_matches(m, "lookup", at=("at",)).collect()} == {(1, 6, 0.9, 1), (1, 7, 0.9, 2), (2, 7, 0.0, 1)}
