@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.operators import edits, markup, membership, resolve, staging
-from quirelake.plans import queries
+from quirelake.plans import registry
 
 
 def test_numbers_go_up_by_one_over_many_ranges(spark):
@@ -79,13 +79,13 @@ def test_links_of_a_hot_title_are_as_many_as_its_books(spark):
 
 
 def test_pairs_are_not_sent_once_they_are_found(spark, sf_dir):
-    plan = queries.QUERIES["duplicate_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    plan = registry.QUERIES["duplicate_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Union") == 0
 
 
 def test_tasks_of_genre_beside_grow_with_the_input(spark, sf_dir):
     assert staging.tasks_for(spark.range(5_000_000)) == 40 and staging.tasks_for(spark.range(10)) == 4
-    plan = queries.QUERIES["genre_beside"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    plan = registry.QUERIES["genre_beside"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
     assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
 
